@@ -24,6 +24,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), lambda: MergeCounter(vocabulary("byte_bpe_50k.json")))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import digest, expand
 
@@ -32,6 +38,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(expand(table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra)))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold="0.85")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_folder, read_archives, write_archives
 
@@ -65,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6, "op8_warc": OP8}
+    return {"op4_embedding_dedup": OP4, "op6_chat_format": OP6, "op8_warc": OP8}
 
 
 #: What op6 must return; the lengths follow from the template and the number of escapes in each text.
@@ -108,3 +120,18 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id <> original THEN original END AS refers_to
 FROM b
 """
+
+OP4 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))) AND list_bool_or(list_transform(embedding, lambda c: c <> 0))
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95
+), reach(id, seen) AS (
+  SELECT a, a FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.seen
+), c AS (
+  SELECT id, least(id, min(seen)) AS component FROM reach GROUP BY id
+), n AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
