@@ -35,14 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .shingles import Shingler
+from .shingles import shingler
 
 
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n (set size), set_key (128-bit hash of the set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+        shingle = shingler(width)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -66,7 +66,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, shingles: the whole set as sorted 64-bit hashes in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+        shingle = shingler(width)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)

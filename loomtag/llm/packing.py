@@ -17,17 +17,16 @@ go in input order. Rows that repeat are packed as often as they occur.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: The white space that the tokenizer's normaliser and pattern know, without
-#: the separators 1C-1F that ``str.split`` takes in addition.
-_EXTRA = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Signs that end words often; none of them is a letter, a digit or an apostrophe.
 _SIGNS = ".,;:!?*#$%&|-)"
 
@@ -94,13 +93,14 @@ class WordEncoder:
     """Ids of whole texts as little-endian bytes, by the ``tokenizers`` file at ``path``.
 
     For a tokenizer that drops white space and never merges across it, ids of a
-    text are those of its space-separated words in turn; those of each word
-    come from the library once and are kept, up to ``keep`` words. Texts with
-    added tokens or characters that ``str.split`` treats otherwise go to the
-    library whole.
+    text are those of its space-separated words in turn. Arrow splits the texts
+    and finds their distinct words; letters alone and signs alone come from the
+    library once and are kept, in two generations of ``keep`` parts; Arrow puts
+    the ids back in order. Texts with added tokens, or with separators that
+    Arrow takes for white space and the library doesn't, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         import json
 
         from tokenizers import Tokenizer
@@ -108,24 +108,14 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.added = [x["content"] for x in json.load(f)["added_tokens"]]
-        self.keep, self.known = keep, {}
+        self.whole = re.compile("|".join([*map(re.escape, self.added), "[\x1c-\x1f]"])).search
+        self.keep, self.part, self.older = keep, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Have the library encode ``words``. Letters with signs behind them are two of its pre-tokens,
-        so each distinct part goes in once, many to a text; all else goes in word by word."""
-        known, parts, odd = self.known, {}, []
-        for w in words:
-            core = w.rstrip(_SIGNS)
-            if core.isalpha():
-                parts[core] = b""
-                if len(core) < len(w):
-                    parts[w[len(core) :]] = b""
-            else:
-                odd.append(w)
-        names = list(parts)
+    def _learn(self, names: list[str]) -> None:
+        """Have the library encode pre-tokens, many to a text."""
         for i in range(0, len(names), 2048):
             group = names[i : i + 2048]
             x = self.library.encode(" ".join(group), add_special_tokens=False)
@@ -133,27 +123,59 @@ class WordEncoder:
             if len(at) and at[-1] + 1 == len(group):  # one pre-token each
                 ids = np.array(x.ids, "<u4").tobytes()
                 cuts = (4 * np.searchsorted(at, np.arange(len(group) + 1))).tolist()
-                parts.update((g, ids[s:e]) for g, s, e in zip(group, cuts, cuts[1:], strict=False))
+                self.part.update(zip(group, [ids[s:e] for s, e in zip(cuts, cuts[1:], strict=False)], strict=True))
             else:
-                parts.update(zip(group, self._encode(group), strict=True))
+                self.part.update(zip(group, self._encode(group), strict=True))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Letters with signs behind them are two of the library's pre-tokens;
+        all else goes in word by word."""
+        if len(self.part) > self.keep:
+            self.part, self.older = {}, self.part
+        part, older, new, halves = self.part, self.older, [], []
         for w in words:
-            core = w.rstrip(_SIGNS)
-            if core.isalpha():
-                known[w] = parts[core] + parts[w[len(core) :]] if len(core) < len(w) else parts[core]
+            core, tail = w, ""
+            if not w.isalpha():
+                core = w.rstrip(_SIGNS)
+                if core.isalpha():
+                    tail = w[len(core) :]
+                    if tail not in part:
+                        part[tail] = None
+                        new.append(tail)
+                else:
+                    core = w
+            if core not in part:
+                part[core] = older.get(core)
+                if part[core] is None:
+                    new.append(core)
+            halves.append((core, tail))
+        plain = [x for x in new if x.isalpha() or not x.strip(_SIGNS)]
+        self._learn(plain)
+        odd = [x for x in new if not (x.isalpha() or not x.strip(_SIGNS))]
         for i in range(0, len(odd), 2048):
-            known.update(zip(odd[i : i + 2048], self._encode(odd[i : i + 2048]), strict=True))
+            part.update(zip(odd[i : i + 2048], self._encode(odd[i : i + 2048]), strict=True))
+        return [part[core] + part[tail] if tail else part[core] for core, tail in halves]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
-        split = [None if any(a in t for a in self.added) or any(c in t for c in _EXTRA) else t.split() for t in texts]
-        missing = list({w for words in split if words for w in words if w not in known})
-        if len(known) + len(missing) > self.keep and known:
-            known.clear()
-            missing = list({w for words in split if words for w in words})
-        self._learn(missing)
-        for t, words in zip(texts, split, strict=True):
-            out.append(self._encode([t])[0] if words is None else b"".join(map(known.__getitem__, words)))
-        return out
+        whole = {k for k, t in enumerate(texts) if self.whole(t)}
+        split = pc.utf8_split_whitespace(pa.array(["" if k in whole else t for k, t in enumerate(texts)], pa.string()))
+        flat = split.flatten().dictionary_encode()
+        words = flat.dictionary.to_pylist()
+        ids = pa.array(self._words(words), pa.binary()).take(flat.indices)
+        # splitting leaves an empty word at the ends of a text and for an empty one; it has no ids
+        data = memoryview(ids.buffers()[2] or b"")
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1][split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        return [self._encode([t])[0] if k in whole else bytes(data[s:e]) for k, (t, s, e) in enumerate(zip(texts, ends, ends[1:], strict=False))]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each file and worker process, which keeps what it has learnt from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _emit(first: int, docs: list, ids: list[bytes], window: int, with_ids: bool) -> tuple[pa.RecordBatch, int]:
@@ -181,6 +203,16 @@ def _emit(first: int, docs: list, ids: list[bytes], window: int, with_ids: bool)
     return pa.RecordBatch.from_arrays(arrays, [*cols, "sequence_tokens", "padded_tokens", "ids"]), len(filled)
 
 
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``most`` bytes of text, of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long, ids binary"
 
 
@@ -205,8 +237,7 @@ def pack(
         encode = encoder()
         base, made, docs_, ids, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in _parts(batch, 8 << 20):
                 new = [b + end for b in encode([t or "" for t in part.column(1).to_pylist()])]
                 docs_ += part.column(0).to_pylist()
                 ids += new

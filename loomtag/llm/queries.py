@@ -19,9 +19,9 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import MergeCounter, count_tokens
+    from .token_counts import count_tokens, merge_counter
 
-    return count_tokens(table(spark, sf_dir, "documents"), lambda: MergeCounter(vocabulary("byte_bpe_50k.json")))
+    return count_tokens(table(spark, sf_dir, "documents"), lambda: merge_counter(vocabulary("byte_bpe_50k.json")))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +53,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import WordEncoder, pack
+    from .packing import pack, word_encoder
 
-    pieces = pack(table(spark, sf_dir, "documents"), lambda: WordEncoder(vocabulary("word_bpe_49k.json")), with_ids=False)
+    pieces = pack(table(spark, sf_dir, "documents"), lambda: word_encoder(vocabulary("word_bpe_49k.json")), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens")
 
 

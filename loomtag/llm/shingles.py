@@ -45,3 +45,13 @@ class Shingler:
         for i in range(min(self.width, len(h))):
             acc = _mixed(acc * _STEP + h[i : i + n])
         return np.unique(acc)
+
+
+_SHINGLERS: dict[int, Shingler] = {}
+
+
+def shingler(width: int) -> Shingler:
+    """One for each width and worker process, which keeps the words it has met from task to task."""
+    if width not in _SHINGLERS:
+        _SHINGLERS[width] = Shingler(width)
+    return _SHINGLERS[width]

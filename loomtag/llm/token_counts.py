@@ -34,7 +34,7 @@ def byte_symbols() -> list[str]:
 class MergeCounter:
     """Counts the tokens of pre-tokens and whole texts by the merges in a ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, keep: int = 250_000, piece: int = 1 << 20):
+    def __init__(self, path: str, keep: int = 500_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -53,7 +53,7 @@ class MergeCounter:
         self.tokens = regex.compile(PATTERN).findall
         self.single = re.compile(r"\s(?= )|(?<= )\s|\s\Z|\A\s").search  # spaces that don't each open a word
         self.safe_cut = re.compile(r"(?<=\S) (?=\S)")
-        self.keep, self.piece, self.chunks, self.words = keep, piece, {}, {}
+        self.keep, self.chunks, self.words = keep, {}, {}
 
     def pretoken(self, token: str) -> int:
         """Tokens of one pre-token. Heap entries are rank and place in one integer."""
@@ -129,6 +129,16 @@ class MergeCounter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
+_COUNTERS: dict[str, MergeCounter] = {}
+
+
+def merge_counter(path: str) -> MergeCounter:
+    """One counter for each file and worker process, which keeps what it has learnt from task to task."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = MergeCounter(path)
+    return _COUNTERS[path]
+
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
