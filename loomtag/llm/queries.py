@@ -24,6 +24,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), lambda: merge_counter(vocabulary("byte_bpe_50k.json")))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeated_bytes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicates
 
