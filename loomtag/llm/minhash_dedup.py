@@ -13,10 +13,14 @@
 3. Every member of a list is paired with the list's smallest id. The bottom-k
    of the union, taken from both sketches, estimates the similarity; pairs more
    than seven standard deviations short are left out, all others are decided on
-   the full sets. What links joins components.
-4. Lists that still span several components give their remaining pairs across
-   components, decided alike. So no link between components is lost, while a
-   large group of near copies never gives all its pairs.
+   the full sets. What links joins *components*, what only might joins
+   *families*: copies with so many changes that few of them link.
+4. What step 3 did not pair is decided only across components. Families of
+   several components are compared in blocks: a task holds two blocks of full
+   sets, counts all their intersections at once and returns a spanning forest
+   of the links. Lists that still span several families give their pairs across
+   families, decided as in step 3. So no link between components is lost, and
+   a large group of near copies never becomes rows for all its pairs.
 
 A document without words links with nothing, nor does one without doc_id;
 both are kept. Rows that repeat a doc_id share its component.
@@ -118,12 +122,16 @@ def _likely(k: int, t: float) -> Column:
     return sizes & (shared >= F.size(union) * (t - margin))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose full sets reach the threshold."""
+def _possible(pairs: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Of ``pairs(a, b)`` those that sizes and sketches leave possible."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(_likely(k, float(t))).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_likely(k, float(t))).select("a", "b")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Of ``pairs(a, b)`` those whose full sets reach the threshold."""
     full = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
-    both = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b")
+    both = pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b")
     top, bottom = t.numerator, t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +147,54 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, t: Fr
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
+def block_links(sets: list[np.ndarray], component: np.ndarray, t: Fraction, columns: int = 4096) -> np.ndarray:
+    """For each set the first set of its connected part, by links between sets of different components."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    _, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = count > 1
+    name = np.cumsum(shared) - 1  # of shingles that several sets hold
+    keep = shared[where]
+    row, col = row[keep], name[where[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((n, n), np.float32)
+    for c in range(0, int(shared.sum()), columns):
+        s, e = np.searchsorted(col, [c, c + columns])
+        x = np.zeros((n, columns), np.float32)
+        x[row[s:e], col[s:e] - c] = 1
+        both += x @ x.T
+    inter = both.astype(np.int64)
+    linked = (inter > 0) & (t.denominator * inter >= t.numerator * (size[:, None] + size[None, :] - inter)) & (component[:, None] != component[None, :])
+    i, j = np.nonzero(np.triu(linked, 1))
+    label = np.arange(n)
+    while len(i) and (label[i] != label[j]).any():
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        label = label[label]
+    return label
+
+
+def _within_families(members: DataFrame, sets: DataFrame, t: Fraction, block_shingles: int, block_docs: int) -> DataFrame:
+    """Links between components of one family: ``members(rep, n, component, family)`` -> (a, b)."""
+    several = members.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n").alias("all"), F.count("*").alias("docs"))
+    several = several.where("x <> y").select("family", F.ceil(F.greatest(F.col("all") / block_shingles, F.col("docs") / block_docs)).cast("int").alias("p"))
+    own = members.join(several, "family").withColumn("own", F.pmod(F.xxhash64("rep"), "p").cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("rep", "component", "family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+
+    def compare(g: pa.Table) -> pa.Table:
+        sets_ = [np.frombuffer(x, np.uint64) for x in g["shingles"].to_pylist()]
+        rep = g["rep"].to_numpy()
+        label = block_links(sets_, g["component"].to_numpy(), t)
+        k = np.nonzero(label != np.arange(len(rep)))[0]
+        return pa.table({"a": rep[k], "b": rep[label[k]]})
+
+    return dealt.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k: int = 64, broadcast_rows: int = 500_000, block_shingles: int = 250_000, block_docs: int = 512) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept, a row for each row."""
     t = Fraction(threshold)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -152,23 +207,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k:
     leads = lists.groupBy("run").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("run", "lead")
     shared = written(lists.join(leads, "run").select("run", "rep", "lead"), "lists")
     stars = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = written(stars, "pairs")
+    stars = written(_possible(stars, classes, k, t), "pairs")
 
     ids = shared.select(F.col("rep").alias("doc_id")).distinct()
     few = ids.count() <= broadcast_rows
     once = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = written(full_sets(once, width).dropDuplicates(["doc_id"]), "sets")
 
-    links = written(_linked(stars, classes, sets, k, t), "linked")
-    joined = components(links)
-    spread = shared.select("run", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("run", "rep", F.coalesce("component", "rep").alias("component"))
-    spread = spread.join(classes.select("rep", "n"), "rep")
-    open_ = spread.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run")
+    links = written(_linked(stars, sets, t), "linked")
+    joined, families = components(links), components(stars)
+    members = classes.select("rep", "n").join(ids.withColumnRenamed("doc_id", "rep"), "rep")
+    members = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(families.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep", "left")
+    members = written(members.select("rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("family", "rep").alias("family")), "members")
+    inside = _within_families(members, sets, t, block_shingles, block_docs)
+
+    spread = shared.select("run", "rep").join(members.select("rep", "n", "family"), "rep")
+    open_ = spread.groupBy("run").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("run")
     spread = written(spread.join(open_, "run"), "open")
-    side = lambda x: spread.select("run", F.col("rep").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"))
-    across = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (float(t) - 1e-9)))
-    across = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_linked(across, classes, sets, k, t), "linked")
+    side = lambda x: spread.select("run", F.col("rep").alias(x), F.col("family").alias(f"f_{x}"), F.col("n").alias(f"n_{x}"))
+    across = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (float(t) - 1e-9)))
+    across = _linked(_possible(across.select("a", "b").distinct(), classes, k, t), sets, t)
+    more = written(inside.unionByName(across), "linked")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
 
