@@ -84,38 +84,37 @@ def similarity(a: Column, b: Column) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 25, broadcast_rows: int = 200_000) -> DataFrame:
     """``docs(text, ...)`` and ``benchmark(item_id, text)`` -> text_key, item_id, similarity, window_start,
     window_words: for each distinct text and item the best window that reaches the threshold."""
+    fits = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
-    items = items.select("item_id", "w", F.size("w").alias("n_words"), _hashes(F.col("w"), width).alias("h"))
-    items = written(items.withColumn("print", simhash(F.col("h"))), "items")
+    items = written(items.select("item_id", "w", F.size("w").alias("n_words"), _hashes(F.col("w"), width).alias("h")), "items")
     small = items.agg(F.sum(F.size("h"))).first()[0] or 0
-    fits = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
 
     # windows on shared shingles
     seeds = items.select("item_id", "n_words", F.posexplode("h").alias("at", "shingle"))
-    texts = docs.select("text").where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("text_key"), "text")
-    places = texts.select("text_key", F.posexplode(_hashes(words(F.col("text")), width)).alias("place", "shingle"))
+    texts = docs.select("text").where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    places = texts.select("text_key", F.posexplode(_hashes(F.col("w"), width)).alias("place", "shingle"))
     hits = places.join(fits(seeds, small), "shingle").select("text_key", "n_words", (F.col("place") - F.col("at")).alias("start")).distinct()
     hits = written(hits.groupBy("text_key").agg(F.collect_list(F.struct("n_words", "start")).alias("windows")), "windows")
-    held = texts.join(fits(hits, hits.count()), "text_key").select("text_key", "windows", words(F.col("text")).alias("w")).dropDuplicates(["text_key"])
+    held = texts.join(fits(hits, hits.count()), "text_key").select("text_key", "windows", "w").dropDuplicates(["text_key"])
     each = held.select("text_key", "w", F.explode("windows").alias("x")).select("text_key", "w", "x.n_words", F.greatest(F.lit(0), F.least("x.start", F.size("w") - F.col("x.n_words"))).alias("window_start"))
-    own = F.slice("w", F.col("window_start") + 1, F.col("n_words"))
-    each = each.select("text_key", "n_words", "window_start", own.alias("w")).distinct()
-    each = each.withColumn("print", simhash(_hashes(F.col("w"), width)))
+    each = each.select("text_key", "n_words", "window_start", F.slice("w", F.col("window_start") + 1, F.col("n_words")).alias("w")).distinct()
+    each = written(each.select("text_key", "n_words", "window_start", "w", _hashes(F.col("w"), width).alias("h")), "windows")
 
     # the index: items of the window's size under every block value near their own
     near = F.explode(F.array(*[F.lit(m) for m in _masks(radius // BLOCKS)]))
-    listed = items.select("item_id", "n_words", F.col("w").alias("item"), F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"))).alias("b"))
-    listed = listed.select("item_id", "n_words", "item", "item_print", "b.block", "b.value", near.alias("mask"))
-    listed = listed.select("item_id", "n_words", "item", "item_print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    index = listed.select("item_id", "n_words", "item_print", "block", "value")
-    keyed = each.select("text_key", "n_words", "window_start", "print", F.explode(_blocks(F.col("print"))).alias("b")).select("text_key", "n_words", "window_start", "print", "b.block", "b.value")
+    listed = items.select("item_id", "n_words", simhash(F.col("h")).alias("item_print")).distinct()
+    listed = listed.select("item_id", "n_words", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
+    listed = listed.select("item_id", "n_words", "item_print", "b.block", "b.value", near.alias("mask"))
+    index = listed.select("item_id", "n_words", "item_print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    prints = each.select("text_key", "n_words", "window_start", simhash(F.col("h")).alias("print")).distinct()
+    keyed = prints.select("text_key", "n_words", "window_start", "print", F.explode(_blocks(F.col("print"))).alias("b")).select("text_key", "n_words", "window_start", "print", "b.block", "b.value")
     found = keyed.join(fits(index, small * BLOCKS), ["n_words", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     found = found.select("text_key", "n_words", "window_start", "item_id").distinct()
 
     # exact
     pairs = found.join(each.select("text_key", "n_words", "window_start", "w"), ["text_key", "n_words", "window_start"]).join(fits(items.select("item_id", F.col("w").alias("item")), small), "item_id")
-    score = similarity(_shingles(F.col("w"), width), _shingles(F.col("item"), width))
-    pairs = pairs.select("text_key", "item_id", score.alias("similarity"), "window_start", F.col("n_words").alias("window_words")).where(F.col("similarity") >= threshold)
+    pairs = pairs.select("text_key", "item_id", "window_start", "n_words", _shingles(F.col("w"), width).alias("x"), _shingles(F.col("item"), width).alias("y")).distinct()
+    pairs = pairs.select("text_key", "item_id", similarity(F.col("x"), F.col("y")).alias("similarity"), "window_start", F.col("n_words").alias("window_words")).where(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("similarity", "window_start", "window_words"), F.struct("similarity", -F.col("window_start"))).alias("x")
     return pairs.groupBy("text_key", "item_id").agg(best).select("text_key", "item_id", "x.similarity", "x.window_start", "x.window_words")
 

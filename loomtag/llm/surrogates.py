@@ -42,8 +42,8 @@ ENDINGS = {("m", "latin"): "", ("f", "latin"): "", ("m", "cyrillic"): "ов", ("
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
 #: What each kind looks like; in a text the first that fits at a place counts.
 SHAPES = {
-    "email": r"[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]+)*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|api-key|apikey|access_key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/-]{8,}=*+|\b(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|ASIA)[-_]?[A-Za-z0-9_-]{16,}|(?<![A-Za-z0-9])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9_%+.-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]+)*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access_key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_+/-]{8,}=*+|\b(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|ASIA)[-_]?[A-Za-z0-9_-]{16,}|(?<![A-Za-z0-9])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
@@ -54,6 +54,8 @@ SHAPES = {
 PATTERN = "|".join(f"(?:{p})" for p in SHAPES.values())
 #: A text without any of these holds no entity.
 _HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_key|api-key|apikey|access_key)|(?<!\p{{L}}){_TITLE} \p{{Lu}}"
+#: What is secret in a match: its end, without the word before it.
+_VALUE = r"[A-Za-z0-9_+/-]{8,}=*\z"
 _ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -90,7 +92,7 @@ def kind_of(x: Column) -> Column:
         .when(whole("ssn"), "ssn")
         .when(whole("phone"), "phone")
         .when(numeric & whole("card"), F.when(card, "card"))
-        .when(whole("iban"), F.when(_mod97(x) == 1, "iban").otherwise(F.when(~x.contains(" ") & (F.length(x) >= 16) & x.rlike(r"\d.*\d.*\d"), "secret")))
+        .when(whole("iban"), F.when(_mod97(x) == 1, "iban"))
         .otherwise("secret")
     )
 
@@ -110,6 +112,7 @@ def canonical(kind: Column, x: Column) -> Column:
         .when(kind.isin("phone", "card", "ssn"), _digits(x))
         .when(kind == "iban", F.replace(x, F.lit(" "), F.lit("")))
         .when(kind == "name", F.concat(F.when(x.rlike(rf"\A(?:{'|'.join(TITLES['m'])})\.? "), "m").otherwise("f"), F.lit(" "), F.regexp_replace(x, rf"\A{_TITLE} ", "")))
+        .when(kind == "secret", F.regexp_extract(x, _VALUE, 0))
         .otherwise(x)
     )
 
@@ -140,9 +143,8 @@ def _pick(names: list[str], n: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in names]), n % len(names))
 
 
-def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """Of one canonical entity; a new one for each attempt."""
-    stream = _stream(key, kind, norm, attempt)
+def surrogate(kind: Column, norm: Column, attempt: Column, stream: Column) -> Column:
+    """Of one canonical entity; a new one for each attempt, by its stream."""
     like = _like(norm, stream, norm.rlike(r"\A[0-9a-f]+\z|\A[0-9A-F]+\z"))
     n = F.length(norm)
     domain = F.concat(F.lit("."), F.substring_index(norm, ".", -1))
@@ -179,7 +181,7 @@ def dressed(kind: Column, raw: Column, made: Column) -> Column:
     spaced = F.aggregate(_chars(raw), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), put, lambda acc: acc["out"])
     cased = F.array_join(F.transform(_chars(raw), lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substr(made, i + 1, F.lit(1)))).otherwise(F.substr(made, i + 1, F.lit(1)))), "")
     titled = F.concat(F.regexp_extract(raw, rf"\A({_TITLE} )", 1), F.substr(made, F.lit(3)))
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), spaced).when(kind == "email", cased).when(kind == "name", titled).otherwise(made)
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), spaced).when(kind == "email", cased).when(kind == "name", titled).when(kind == "secret", F.concat(F.regexp_replace(raw, _VALUE, ""), made)).otherwise(made)
 
 
 def distinct_surrogates(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
@@ -187,7 +189,8 @@ def distinct_surrogates(entities: DataFrame, key: str, rounds: int = 40) -> Data
     real = entities.select("kind", F.col("norm").alias("made"), F.lit(True).alias("real"))
     now = entities.select("kind", "norm", F.lit(0).alias("attempt"))
     for _ in range(rounds):
-        tried = written(now.withColumn("made", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "surrogates")
+        drawn = now.withColumn("stream", _stream(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+        tried = written(drawn.select("kind", "norm", "attempt", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("stream")).alias("made")), "surrogates")
         owner = tried.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("owner"), F.count("*").alias("n"))
         clash = owner.join(real, ["kind", "made"], "left").where((F.col("n") > 1) | F.col("real")).select("kind", "made", F.when(F.col("real"), None).otherwise(F.col("owner.norm")).alias("stays"))
         clash = written(clash, "clashes")
@@ -201,21 +204,21 @@ def distinct_surrogates(entities: DataFrame, key: str, rounds: int = 40) -> Data
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs``, ``text`` rewritten, and n_entities (long)."""
-    found = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    scanned = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias("__key"), found.alias("__found"))
-    has = F.coalesce(F.size("__found") > 0, F.lit(False))
-    texts = written(scanned.where(has).select("__key", "__found").dropDuplicates(), "entities")
-    each = texts.select("__key", F.posexplode("__found").alias("at", "raw")).withColumn("kind", kind_of(F.col("raw")))
+    order = [F.col(f"`{c}`") for c in docs.columns]
+    hint = F.coalesce(F.col("text").rlike(_HINT), F.lit(False))
+    flagged = docs.where(hint).select(*order, F.xxhash64("text").alias("__key"))
+    found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
+    each = flagged.select("__key", F.explode(found).alias("raw")).distinct().withColumn("kind", kind_of(F.col("raw")))
     each = written(each.where(F.col("kind").isNotNull()).withColumn("norm", canonical(F.col("kind"), F.col("raw"))), "entities")
     made = distinct_surrogates(each.select("kind", "norm").distinct(), key)
     put = each.join(made, ["kind", "norm"]).select("__key", "raw", dressed(F.col("kind"), F.col("raw"), F.col("made")).alias("new"))
     put = put.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("raw", "new"))).alias("__new"))
-    rest = F.split("text", PATTERN)
-    parts = F.transform("__found", lambda x, i: F.concat(F.get(rest, i), F.coalesce(F.try_element_at("__new", x), x)))
-    text = F.concat(F.array_join(parts, ""), F.get(rest, F.size("__found")))
-    n = F.size(F.filter("__found", lambda x: F.try_element_at("__new", x).isNotNull())).cast("long")
     names = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    order = [F.col(f"`{c}`") for c in docs.columns]
-    changed = scanned.where(has).join(put, "__key", "left").select(*names, F.when(F.col("__new").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("__n"))
-    same = scanned.where(~has).select(*names, "text", F.lit(0).cast("long").alias("__n"))
-    return changed.unionByName(same).select(*order, F.col("__n").alias("n_entities"))
+    touched = flagged.join(put, "__key").select(*names, "text", "__new", found.alias("__found"), F.split("text", PATTERN).alias("__rest"))
+    parts = F.transform("__found", lambda x, i: F.concat(F.get("__rest", i), F.coalesce(F.try_element_at("__new", x), x)))
+    text = F.concat(F.array_join(parts, ""), F.get("__rest", F.size("__found")))
+    n = F.size(F.filter("__found", lambda x: F.try_element_at("__new", x).isNotNull())).cast("long")
+    changed = touched.select(*names, text.alias("text"), n.alias("__n")).select(*order, F.col("__n").alias("n_entities"))
+    none = F.lit(0).cast("long").alias("n_entities")
+    untouched = flagged.join(put, "__key", "left_anti").select(*order, none)
+    return changed.unionByName(untouched).unionByName(docs.where(~hint).select(*order, none))
