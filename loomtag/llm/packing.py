@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Signs that end words often; none of them is a letter, a digit or an apostrophe.
 _SIGNS = ".,;:!?*#$%&|-)"
 
@@ -203,16 +205,6 @@ def _emit(first: int, docs: list, ids: list[bytes], window: int, with_ids: bool)
     return pa.RecordBatch.from_arrays(arrays, [*cols, "sequence_tokens", "padded_tokens", "ids"]), len(filled)
 
 
-def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about ``most`` bytes of text, of one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long, ids binary"
 
 
@@ -237,7 +229,7 @@ def pack(
         encode = encoder()
         base, made, docs_, ids, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
         for batch in batches:
-            for part in _parts(batch, 8 << 20):
+            for part in slices(batch, 1, 8 << 20):
                 new = [b + end for b in encode([t or "" for t in part.column(1).to_pylist()])]
                 docs_ += part.column(0).to_pylist()
                 ids += new

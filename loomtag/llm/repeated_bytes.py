@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import shuffle_partitions, slices, written
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
     """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept:
     the bytes that stay."""
     spark = docs.sparkSession
-    n = 2 * shuffle_partitions(spark)
+    n = 4 * shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
 
@@ -197,7 +197,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
     lists = first.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("hash"))).alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 1, 4 << 20)):
             parts = []
             for d, x, some, most in zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 h, at, size = units(x, depth, gram)
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
     second = written(dealt.groupBy("r").applyInArrow(equal, kinds), "repeats")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 1, 4 << 20)):
             own: dict[str, list] = {k: [] for k in ("h", "d", "at", "size", "data")}
             far: dict[str, list] = {k: [] for k in ("h", "d", "at")}
             for d, x, found in zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), batch.column(2), strict=True):
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 1, 4 << 20)):
             rows: list[list] = [[] for _ in names[1:]]
             for x, found in zip(_arrays(batch.column(1)), batch.column(2), strict=True):
                 raw, spans = x.tobytes(), []
