@@ -13,8 +13,8 @@
 3. Every member of a list is paired with the list's smallest id. The bottom-k
    of the union, taken from both sketches, estimates the similarity; pairs more
    than seven standard deviations short are left out, all others are decided on
-   the full sets. What links joins *components*, what only might joins
-   *families*: copies with so many changes that few of them link.
+   the full sets. What links joins *components*; whatever reaches the much lower
+   estimate ``kin`` joins *families*: copies with so many changes that few link.
 4. What step 3 did not pair is decided only across components. Families of
    several components are compared in blocks: a task holds two blocks of full
    sets, counts all their intersections at once and returns a spanning forest
@@ -113,19 +113,18 @@ def _lists(classes: DataFrame, t: Fraction, most: int = 3) -> DataFrame:
     return classes.select(F.explode(F.concat(*arrays)).alias("run"), "rep")
 
 
-def _likely(k: int, t: float) -> Column:
-    """Whether the sizes allow similarity t and the bottom-k of the union doesn't speak against it."""
-    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t - 1e-9)
+def _estimated(pairs: DataFrame, classes: DataFrame, k: int, t: float, kin: float) -> DataFrame:
+    """``pairs(a, b)`` that are ``possible``: sizes allow similarity t and the bottom-k of the union doesn't
+    speak against it; or that are ``kin``: their estimate reaches that much lower mark."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("union", union)
+    shared = F.size(F.array_intersect("union", F.array_intersect("sketch_a", "sketch_b")))
+    both = both.select("a", "b", "n_a", "n_b", F.size("union").alias("size"), shared.alias("shared"))
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t - 1e-9)
     margin = 7 * math.sqrt(t * (1 - t) / k)
-    return sizes & (shared >= F.size(union) * (t - margin))
-
-
-def _possible(pairs: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Of ``pairs(a, b)`` those that sizes and sketches leave possible."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_likely(k, float(t))).select("a", "b")
+    out = both.select("a", "b", (sizes & (F.col("shared") >= F.col("size") * (t - margin))).alias("possible"), (F.col("shared") >= F.col("size") * kin).alias("kin"))
+    return out.where("possible OR kin")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -194,7 +193,7 @@ def _within_families(members: DataFrame, sets: DataFrame, t: Fraction, block_shi
     return dealt.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k: int = 64, broadcast_rows: int = 500_000, block_shingles: int = 250_000, block_docs: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k: int = 64, kin: float = 0.3, broadcast_rows: int = 500_000, block_shingles: int = 250_000, block_docs: int = 512) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept, a row for each row."""
     t = Fraction(threshold)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -207,15 +206,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k:
     leads = lists.groupBy("run").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("run", "lead")
     shared = written(lists.join(leads, "run").select("run", "rep", "lead"), "lists")
     stars = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = written(_possible(stars, classes, k, t), "pairs")
+    stars = written(_estimated(stars, classes, k, float(t), kin), "pairs")
 
     ids = shared.select(F.col("rep").alias("doc_id")).distinct()
     few = ids.count() <= broadcast_rows
     once = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = written(full_sets(once, width).dropDuplicates(["doc_id"]), "sets")
 
-    links = written(_linked(stars, sets, t), "linked")
-    joined, families = components(links), components(stars)
+    links = written(_linked(stars.where("possible").select("a", "b"), sets, t), "linked")
+    joined, families = components(links), components(stars.select("a", "b"))
     members = classes.select("rep", "n").join(ids.withColumnRenamed("doc_id", "rep"), "rep")
     members = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(families.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep", "left")
     members = written(members.select("rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("family", "rep").alias("family")), "members")
@@ -226,7 +225,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k:
     spread = written(spread.join(open_, "run"), "open")
     side = lambda x: spread.select("run", F.col("rep").alias(x), F.col("family").alias(f"f_{x}"), F.col("n").alias(f"n_{x}"))
     across = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (float(t) - 1e-9)))
-    across = _linked(_possible(across.select("a", "b").distinct(), classes, k, t), sets, t)
+    across = _estimated(across.select("a", "b").distinct(), classes, k, float(t), kin).where("possible")
+    across = _linked(across.select("a", "b"), sets, t)
     more = written(inside.unionByName(across), "linked")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
