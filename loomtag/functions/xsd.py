@@ -29,7 +29,7 @@ RANGES = {
 _ZONE = r"(?:Z|[+-](?:0\d|1[0-3]):[0-5]\d|[+-]14:00)?"
 _DATE = r"-?(?:[1-9]\d{3,}|0\d{3})-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
 _TIME = r"(?:(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?|24:00:00(?:\.0+)?)"
-_NMTOKEN = NCNAME_JAVA[NCNAME_JAVA.index("[", 1) :].rstrip("*").replace("[", "[:", 1) + "+"
+_NMTOKEN = NCNAME_JAVA[NCNAME_JAVA.index("[", 1) :].rstrip("*").replace("[-", "[:\\-", 1) + "+"
 LEXICAL = {
     "boolean": "true|false|1|0", "decimal": r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)", "float": r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|[+-]?INF|NaN",
     "duration": r"-?P(?=\d|T\d)(?:\d+Y)?(?:\d+M)?(?:\d+D)?(?:T(?=\d)(?:\d+H)?(?:\d+M)?(?:\d+(?:\.\d+)?S)?)?", "yearMonthDuration": r"-?P(?=\d)(?:\d+Y)?(?:\d+M)?",

@@ -15,7 +15,7 @@ _REF = r"&(#x[0-9a-fA-F]+|#[0-9]+|[A-Za-z_:][A-Za-z0-9._:-]*);"
 
 def _chr(code: Column) -> Column:
     """The character of a code point, by its UTF-32 bytes."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
 def encode(text: Column) -> Column:

@@ -14,7 +14,7 @@ from .stream import in_order, is_
 
 def _attrs(quote: str = '"') -> Column:
     one = lambda a: F.concat(F.lit(" "), a["name"], F.lit("="), F.lit(quote), encode_attr(a["value"]), F.lit(quote))
-    return F.array_join(F.transform(F.coalesce("attrs", F.array().cast("array<struct<name:string,value:string>>")), one), "")
+    return F.coalesce(F.array_join(F.transform("attrs", one), ""), F.lit(""))
 
 
 def fragments(events: DataFrame, pretty: bool = False, indent: int | str = 2) -> DataFrame:

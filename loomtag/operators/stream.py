@@ -79,9 +79,10 @@ def filter_namespaces(events: DataFrame, names: Iterable[str], include: bool = T
     w = in_order().rowsBetween(Window.unboundedPreceding, 0)
     # the last start or end before says whose content this is
     tag = F.when(is_("start_element", "end_element"), own)
-    owner = F.last(tag, ignorenulls=True).over(w)
-    hit = owner.isin(*names) if include else ~owner.isin(*names)
-    return events.where(is_(*MARKERS, "error")| (F.col("depth") == 0) & ~is_("start_element", "end_element") | hit)
+    owned = events.withColumn("__owner", F.last(tag, ignorenulls=True).over(w))
+    hit = F.col("__owner").isin(*names) if include else ~F.col("__owner").isin(*names)
+    free = is_(*MARKERS, "error") | (F.col("depth") == 0) & ~is_("start_element", "end_element")
+    return owned.where(free | hit).drop("__owner")
 
 
 def errors(events: DataFrame) -> DataFrame:

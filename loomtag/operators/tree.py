@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tree import Halt, Handler, one
+from .accessors import attribute
 from .stream import fold, is_
 
 
@@ -80,7 +81,7 @@ def records(events: DataFrame, name: str, fields: dict[str, tuple[str, str]]) ->
     aggs = []
     for field, (where, kind) in fields.items():
         if where.startswith("@"):
-            own = F.when(is_("start_element") & (F.col("name") == name), F.get(F.filter("attrs", lambda a, n=where[1:]: a["name"] == n), 0)["value"])
+            own = F.when(is_("start_element") & (F.col("name") == name), attribute(where[1:]))
         else:
             own = F.when(is_("characters", "cdata", "space") & (F.element_at("path", -1) == where), F.col("content"))
         aggs.append(F.max(own).try_cast(kind).alias(field))
