@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 UNDETERMINED = "und"
 _SPACE = 32
 _TABLE: list[np.ndarray] = []
@@ -137,9 +139,9 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
         for batch in batches:
             i = 0
             sizes = [len(t or "") for t in batch.column(at).to_pylist()]
-            while i < batch.num_rows:  # up to 64 texts or a few million characters at once
+            while i < batch.num_rows:  # up to 64 texts or a million characters at once
                 n, chars = 0, 0
-                while n < 64 and i + n < batch.num_rows and (not n or chars + sizes[i + n] < 4_000_000):
+                while n < 64 and i + n < batch.num_rows and (not n or chars + sizes[i + n] < 1_000_000):
                     chars += sizes[i + n]
                     n += 1
                 part = batch.slice(i, n)
@@ -147,4 +149,4 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], out.names)
                 i += n
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lambda batches: released(run(batches)), out)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, released, written
 from .shingles import shingler
 
 
@@ -63,7 +63,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
                     ["doc_id", "n", "set_key", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), "doc_id long, n long, set_key binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -76,7 +76,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([shingle(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), "doc_id long, shingles binary")
 
 
 def shared_run(union: int, t: Fraction, most: int = 3) -> int:

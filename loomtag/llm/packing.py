@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import released, slices
 
 #: Signs that end words often; none of them is a letter, a digit or an apostrophe.
 _SIGNS = ".,;:!?*#$%&|-)"
@@ -102,7 +102,7 @@ class WordEncoder:
     Arrow takes for white space and the library doesn't, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import json
 
         from tokenizers import Tokenizer
@@ -241,4 +241,4 @@ def pack(
         if docs_:
             yield _emit(base + made, docs_, ids, window, with_ids)[0]
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), SCHEMA)
