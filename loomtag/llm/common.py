@@ -38,13 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass batches on, and at a task's end give memory that is free back to the system: workers stay, and
     what they keep would add to the next task's."""
     yield from batches
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):
-        ctypes.CDLL(None).malloc_trim(0)
+    release()
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:

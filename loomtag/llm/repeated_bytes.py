@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, written
+from .common import release, released, shuffle_partitions, slices, written
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -136,6 +136,16 @@ def _later(ids: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (docs != docs[first]) | (at != at[first])
 
 
+def _chunks(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of sorted keys that keep equal ones together and reach ``most`` in size at the earliest end."""
+    last = np.nonzero(np.concatenate([keys[1:] != keys[:-1], [True]]))[0] + 1
+    upto, begin, done = np.cumsum(sizes), 0, 0
+    for e in last.tolist():
+        if upto[e - 1] - done >= most or e == len(keys):
+            yield slice(begin, e)
+            begin, done = e, upto[e - 1]
+
+
 def refined(data: np.ndarray, windows: np.ndarray, docs: np.ndarray, at: np.ndarray, depth: int, q: int) -> np.ndarray:
     """Of the windows that start at ``windows`` of ``data`` and stand at (docs, at): whether each repeats
     one that stands earlier."""
@@ -176,7 +186,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
                 held.append(h)
                 names.append(np.full(len(h), d, np.int64))
                 size += len(h)
-                if size > 500_000:
+                if size > 200_000:
                     h = np.concatenate(held)
                     yield from _dealt(_ranges(h, n), {"hash": h, "doc": np.concatenate(names)})
                     held, names, size = [], [], 0
@@ -193,7 +203,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
         keep = (many > 1) & np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
         return pa.table({"doc_id": d[keep], "hash": h[keep].view(np.int64), "hot": many[keep] >= hot})
 
-    first = long_.mapInArrow(initial, "r int, hash binary, doc binary").groupBy("r").applyInArrow(repeated, "doc_id long, hash long, hot boolean")
+    first = long_.mapInArrow(lambda b: released(initial(b)), "r int, hash binary, doc binary").groupBy("r").applyInArrow(repeated, "doc_id long, hash long, hot boolean")
     lists = first.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("hash"))).alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +230,12 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
         meets = new & (is_hot | np.isin(h, only[0][only[1] > 1]))
         keep = again | meets
         kind = np.where(again, 0, np.where(is_hot, 2, 1))[keep].astype(np.int32)
+        release()
         return pa.table({"doc_id": d[keep], "at": at[keep], "size": size[keep], "hash": h[keep].view(np.int64), "kind": kind})
 
     kinds = "doc_id long, at long, size int, hash long, kind int"
     dealt = long_.join(lists, "doc_id").select("doc_id", "text", "hashes", "hot")
-    dealt = dealt.mapInArrow(candidates, "r int, hash binary, k1 binary, k2 binary, doc binary, at binary, size binary, hot binary")
+    dealt = dealt.mapInArrow(lambda b: released(candidates(b)), "r int, hash binary, k1 binary, k2 binary, doc binary, at binary, size binary, hot binary")
     second = written(dealt.groupBy("r").applyInArrow(equal, kinds), "repeats")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,19 +269,30 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
             d, at = d[order], at[order]
             again = _later(h[order], d, at)
         else:
-            data = _joined(t, "data", np.uint8)
-            start = np.concatenate([[0], np.cumsum(size + depth - 1)[:-1]])
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            d, at = np.repeat(d, size), np.repeat(at, size) + place
-            again = refined(data, np.repeat(start, size) + place, d, at, depth, gram)
+            raw = b"".join(t["data"].to_pylist())
+            order = np.argsort(h, kind="stable")
+            end = np.cumsum(size + depth - 1)
+            h, d, at, size, start, end = (x[order] for x in (h, d, at, size, end - (size + depth - 1), end))
+            parts = []
+            for k in _chunks(h, end - start, 1 << 20):  # whole buckets, about a megabyte of them at once
+                data = np.frombuffer(b"".join([raw[s:e] for s, e in zip(start[k].tolist(), end[k].tolist(), strict=True)]), np.uint8)
+                n_ = size[k]
+                begin = np.cumsum(n_ + depth - 1) - (n_ + depth - 1)
+                place = np.arange(n_.sum()) - np.repeat(np.cumsum(n_) - n_, n_)
+                own, where = np.repeat(d[k], n_), np.repeat(at[k], n_) + place
+                again = refined(data, np.repeat(begin, n_) + place, own, where, depth, gram)
+                parts.append((own[again], where[again]))
+            d, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            again = slice(None)
         d, at = d[again], at[again]
         order = np.lexsort((at, d))
         d, at = d[order], at[order]
         cut = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)]))[0] if len(d) else np.empty(0, np.int64)
+        release()
         return pa.table({"doc_id": d[cut], "at": at[cut], "size": np.diff(np.concatenate([cut, [len(d)]])).astype(np.int32)})
 
     meets = second.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", "hash", "kind")).alias("found"))
-    near = long_.join(meets, "doc_id").select("doc_id", "text", "found").mapInArrow(contexts, "r int, hash binary, doc binary, at binary, size binary, data binary")
+    near = long_.join(meets, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda b: released(contexts(b)), "r int, hash binary, doc binary, at binary, size binary, data binary")
     third = near.groupBy("r").applyInArrow(refine, "doc_id long, at long, size int")
     gone = second.where("kind = 0").select("doc_id", "at", "size").unionByName(third).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("gone"))
 
@@ -298,4 +320,4 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds_, strict=False))], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(cut, schema)
+    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(lambda b: released(cut(b)), schema)
