@@ -19,7 +19,9 @@
    several components are compared in blocks: a task holds two blocks of full
    sets, counts all their intersections at once and returns a spanning forest
    of the links. Lists that still span several families give their pairs across
-   families, decided as in step 3. So no link between components is lost, and
+   families, decided as in step 3; of those longer than ``long_list``, such as
+   a widespread passage makes, the members are listed anew under runs of up to
+   five values, which linked sets share just as surely. So no link between components is lost, and
    a large group of near copies never becomes rows for all its pairs.
 
 A document without words links with nothing, nor does one without doc_id;
@@ -193,7 +195,7 @@ def _within_families(members: DataFrame, sets: DataFrame, t: Fraction, block_shi
     return dealt.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k: int = 64, kin: float = 0.3, broadcast_rows: int = 500_000, block_shingles: int = 250_000, block_docs: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k: int = 64, kin: float = 0.3, long_list: int = 48, broadcast_rows: int = 500_000, block_shingles: int = 250_000, block_docs: int = 512) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept, a row for each row."""
     t = Fraction(threshold)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -220,9 +222,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k:
     members = written(members.select("rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("family", "rep").alias("family")), "members")
     inside = _within_families(members, sets, t, block_shingles, block_docs)
 
-    spread = shared.select("run", "rep").join(members.select("rep", "n", "family"), "rep")
-    open_ = spread.groupBy("run").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("run")
-    spread = written(spread.join(open_, "run"), "open")
+    def still_open(lists: DataFrame) -> DataFrame:
+        """Postings of lists that span several families, with their lengths."""
+        spread = lists.join(members.select("rep", "n", "family"), "rep")
+        open_ = spread.groupBy("run").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("length")).where("x <> y")
+        return spread.join(open_.select("run", "length"), "run")
+
+    spread = written(still_open(shared.select("run", "rep")), "open")
+    long_ = classes.join(spread.where(F.col("length") > long_list).select("rep").distinct(), "rep")
+    longer = still_open(_lists(long_, t, most=5).distinct())
+    spread = written(spread.where(F.col("length") <= long_list).unionByName(longer), "open")
     side = lambda x: spread.select("run", F.col("rep").alias(x), F.col("family").alias(f"f_{x}"), F.col("n").alias(f"n_{x}"))
     across = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (float(t) - 1e-9)))
     across = _estimated(across.select("a", "b").distinct(), classes, k, float(t), kin).where("possible")
