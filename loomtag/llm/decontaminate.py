@@ -19,7 +19,9 @@ deviation of 3; the default radius leaves five deviations.
 
 Work goes by distinct text (its 64-bit hash; what is found is decided on the
 text itself). Null and empty texts and items match nothing. A text or item of
-fewer than ``width`` words is one shingle. Rows that repeat are each found.
+fewer than ``width`` words is one shingle, so such an item matches a text that
+is nothing else, not one that merely holds its few words. Rows that repeat are
+each found.
 """
 
 from __future__ import annotations

@@ -149,4 +149,5 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], out.names)
                 i += n
 
-    return docs.mapInArrow(lambda batches: released(run(batches)), out)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any name will do, dots in it too
+    return numbered.mapInArrow(lambda batches: released(run(batches)), out)

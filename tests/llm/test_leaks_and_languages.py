@@ -14,8 +14,10 @@ def grams(w, width=5):
 
 
 def best(text, item):
-    """The best similarity of any window of the item's size."""
+    """The best similarity of any window of the item's size; an item of fewer than five words is a whole text."""
     w, v = tokens(text), tokens(item)
+    if len(v) < 5:
+        return float(w == v and bool(v))
     b, top = Counter(grams(v)), 0.0
     for s in range(max(1, len(w) - len(v) + 1)):
         a = Counter(grams(w[s : s + len(v)]))
