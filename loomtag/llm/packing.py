@@ -102,7 +102,7 @@ class WordEncoder:
     Arrow takes for white space and the library doesn't, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 350_000):
         import json
 
         from tokenizers import Tokenizer
