@@ -40,7 +40,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = queries.vocabulary("word_bpe_49k.json")
-    return packing.pack(docs, lambda: packing.word_encoder(path))
+    return packing.pack(docs, lambda: packing.word_encoder(path, 60_000))  # workers of earlier stages hold memory too
 
 
 STAGES = [

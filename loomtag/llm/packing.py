@@ -104,9 +104,11 @@ class WordEncoder:
 
     def __init__(self, path: str, keep: int = 350_000):
         import json
+        import os
 
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.added = [x["content"] for x in json.load(f)["added_tokens"]]
@@ -170,14 +172,14 @@ class WordEncoder:
         return [self._encode([t])[0] if k in whole else bytes(data[s:e]) for k, (t, s, e) in enumerate(zip(texts, ends, ends[1:], strict=False))]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, keep: int = 350_000) -> WordEncoder:
     """One encoder for each file and worker process, which keeps what it has learnt from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = WordEncoder(path, keep)
+    return _ENCODERS[path, keep]
 
 
 def _emit(first: int, docs: list, ids: list[bytes], window: int, with_ids: bool) -> tuple[pa.RecordBatch, int]:

@@ -23,7 +23,7 @@ class Shingler:
     words has none. Hashes of words met are kept, up to ``keep``.
     """
 
-    def __init__(self, width: int, keep: int = 200_000):
+    def __init__(self, width: int, keep: int = 100_000):
         self.width, self.keep, self.known = width, keep, {}
 
     def words(self, text: str | None) -> np.ndarray:
