@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,20 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) is a temporary
-    folder chosen, and set for ``checkpoint()`` as well.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomtag-"))
-    return jsc.getCheckpointDir().get()
+from ..sources.shared import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

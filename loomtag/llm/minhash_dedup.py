@@ -21,7 +21,8 @@
    of the links. Lists that still span several families give their pairs across
    families, decided as in step 3; of those longer than ``long_list``, such as
    a widespread passage makes, the members are listed anew under runs of up to
-   five values, which linked sets share just as surely. So no link between components is lost, and
+   five values, which linked sets of up to k members share as
+   surely, and larger ones but for about two in a million. So no link between components is lost, and
    a large group of near copies never becomes rows for all its pairs.
 
 A document without words links with nothing, nor does one without doc_id;
