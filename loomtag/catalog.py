@@ -395,7 +395,7 @@ def _(spark, d):
 def _(spark, d):
     events = parse(docs.faulty(spark, d))
     kept = validate.apply(events, validate.attributes(events), "skip")
-    return events.where(start()).agg(F.count("*").alias("a")).crossJoin(kept.where(start()).agg(F.count("*").alias("b"))).select((c("a") - c("b")).alias("gone"))
+    return events.where(start()).join(kept.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").agg(F.count("*").alias("gone"))
 
 
 # --- entities, namespaces, DTD
@@ -467,6 +467,33 @@ def _(spark, d):
     return documents.entity_values(source).select(c("doc_id").cast("int").alias("doc_id"), "name", "error")
 
 
+@query("DT5_undefined_entities", "SELECT n_nationkey AS doc_id, unnest(['x' || n_nationkey, 'zz']) AS name FROM nation")
+def _(spark, d):
+    from .functions import dtd
+
+    source = docs.nations(spark, d).select("doc_id", docs.cat('<!DOCTYPE n [<!ENTITY a "&x', c("doc_id"), ';&amp;&#65;"><!ATTLIST n k CDATA "&zz;&a;">]>', c("xml")).alias("xml"))
+    found = documents.per_document(source, lambda b: [{"name": n} for n in dtd.model_of_document(b).undefined()], "name string")
+    return found.select(c("doc_id").cast("int").alias("doc_id"), "name")
+
+
+@query("DT9_parameter_entities", "SELECT n_nationkey AS doc_id, 'v' || n_regionkey AS value FROM nation")
+def _(spark, d):
+    source = docs.table(spark, d, "nation").select(c("n_nationkey").alias("doc_id"), docs.cat("<!DOCTYPE n [<!ENTITY % p '<!ENTITY e \"v", c("n_regionkey"), "\">'>%p;]><n>&e;</n>").alias("xml"))
+    return documents.entity_values(source).where("name = 'e'").select("doc_id", "value")
+
+
+@query("DT10_conditional_sections", "SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 2 = 0 THEN 'in' ELSE 'out' END AS value FROM nation")
+def _(spark, d):
+    from .functions import dtd
+
+    def one(b: bytes) -> list[dict]:
+        outer = f'<!ENTITY % even "{b.decode()}"><![%even;[<!ENTITY e "in">]]><!ENTITY e "out">'
+        return [{"value": dtd.parse_doctype('DOCTYPE n SYSTEM "s"', lambda system, public: outer).expand("e")}]
+
+    word = F.when(c("n_nationkey") % 2 == 0, "INCLUDE").otherwise("IGNORE")
+    return documents.per_document(docs.table(spark, d, "nation").select(c("n_nationkey").alias("doc_id"), word.alias("xml")), one, "value string")
+
+
 @query("DT6_resolve", "SELECT n_nationkey AS doc_id, 'a ' || n_nationkey AS k, n_name || ' AB [v' || n_nationkey || '] <' AS text FROM nation")
 def _(spark, d):
     events = parse(documents.resolved(docs.entities(spark, d)))
@@ -578,6 +605,12 @@ def _(spark, d):
     return parse(docs.orders(spark, d)).groupBy("doc_id").agg(F.sum(E.stax_code()).cast("long").alias("codes"))
 
 
+@query("C5_attribute_by_namespace", "SELECT c_custkey AS doc_id, CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS seg, 'p:k' AS first, 2 AS n FROM customer")
+def _(spark, d):
+    rows = parse(docs.customers(spark, d)).where(start("p:name"))
+    return rows.select("doc_id", E.attribute_ns(None, "k").alias("k"), E.attribute_ns(None, "seg").alias("seg"), E.attribute_at(0)["name"].alias("first"), E.attribute_count().alias("n"))
+
+
 @query("C4_element_text", "SELECT l_orderkey AS doc_id, CAST(sum(length(l_partkey || '' || CAST(l_quantity AS INT))) AS BIGINT) AS n FROM lineitem GROUP BY 1")
 def _(spark, d):
     return nodes.text_content(parse(docs.orders(spark, d)), "line").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"))
@@ -675,6 +708,12 @@ def _(spark, d):
     return spark.createDataFrame([("byte", x) for x in xsd.chain("xs:byte")], "type string, ancestor string")
 
 
+@query("XS10_spark_types", "SELECT unnest(['byte', 'unsignedInt', 'decimal', 'date', 'hexBinary', 'NMTOKENS', 'anyURI']) AS type, unnest(['tinyint', 'bigint', 'decimal(38,18)', 'date', 'binary', 'array<string>', 'string']) AS spark")
+def _(spark, d):
+    names = ["byte", "unsignedInt", "decimal", "date", "hexBinary", "NMTOKENS", "anyURI"]
+    return spark.createDataFrame([(n, xsd.to_spark_type(n).simpleString()) for n in names], "type string, spark string")
+
+
 @query("XS11_gregorian", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m FROM orders")
 def _(spark, d):
     g = xsd.gregorian_parts(F.date_format("o_orderdate", "yyyy-MM"), "gYearMonth")
@@ -710,6 +749,15 @@ def _(spark, d):
     return sealed.verify(spoilt, _key().public).select(c("doc_id").cast("int").alias("doc_id"), "valid", "reason")
 
 
+@query("SE3_sign_bytes", "SELECT n_nationkey AS doc_id, true AS valid, false AS other FROM nation")
+def _(spark, d):
+    def one(b: bytes) -> list[dict]:
+        signed = crypto.sign(b, _key(), "rsa_sha512")
+        return [{"valid": crypto.verify(b, signed, _key().public, "rsa_sha512"), "other": crypto.verify(b + b"x", signed, _key().public, "rsa_sha512")}]
+
+    return documents.per_document(docs.nations(spark, d), one, "valid boolean, other boolean").withColumn("doc_id", c("doc_id").cast("int"))
+
+
 @query("SE8_signature_info", "SELECT n_nationkey AS doc_id, 'rsa_sha256' AS signature_algorithm, 'exc_c14n' AS c14n_algorithm, 'sha256' AS digest_algorithm, 0 AS missing FROM nation")
 def _(spark, d):
     info = sealed.signature_info(sealed.sign(docs.nations(spark, d), _key()))
