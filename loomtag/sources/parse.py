@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,21 +45,24 @@ def _attrs(e: Event) -> list[dict] | None:
 def columns(b: bytes, config: ParserConfig, first: int = 0) -> dict[str, list]:
     """One document's events as columns."""
     out: dict[str, list] = {k: [] for k in _TYPES}
-    breaks = np.flatnonzero(np.frombuffer(b, np.uint8) == 10) if config.positions != "none" else None
+    breaks = None
+    if config.positions != "none":
+        breaks = np.flatnonzero(np.frombuffer(b, np.uint8) == 10).tolist() if b"\n" in b else []
+    appends = [c.append for c in out.values()]
     for seq, e in enumerate(events(b, config), first):
         if e.kind in config.disable:
             continue
         line = start = pos = None
         if e.pos is not None and breaks is not None:
-            k = int(np.searchsorted(breaks, e.pos, "left"))
-            line, start, pos = k + 1, int(breaks[k - 1]) + 1 if k else 0, e.pos
+            k = bisect_left(breaks, e.pos)
+            line, start, pos = k + 1, breaks[k - 1] + 1 if k else 0, e.pos
             if config.positions == "line_only":
                 start = pos = None
         prefix, local, uri = expanded(e) if e.name is not None else (None, None, None)
         row = (seq, e.kind, e.name, prefix, local, uri, _attrs(e), e.content, line, start, pos, e.depth, e.elem, e.parent, list(e.path) if e.path is not None else None,
                list(e.ns.visible().items()) if config.scopes and e.kind == "start_element" else None, dict(zip(("source", "type", "message"), e.error, strict=True)) if e.error else None)
-        for c, v in zip(out.values(), row, strict=True):
-            c.append(v)
+        for add, v in zip(appends, row, strict=True):
+            add(v)
     return out
 
 
