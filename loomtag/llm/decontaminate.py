@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame expressions only.
 
 1. Texts and items become lower-case runs of letters and digits, and those
-   become shingles of ``width`` words. A window without a single shingle of the
-   item cannot be similar to it, so windows are laid where a shingle of the
-   text equals one of an item: as many words as the item has, starting so that
-   the shared shingle falls on the same place in both.
+   become shingles of ``width`` words. Windows have as many words as the item.
+   One that reaches the threshold holds a number of shingles of the item that
+   follows from the two sizes, wherever they stand in it, so a window is laid
+   at every start where so many fall into it, and nowhere else.
 2. Each window and each item gets a 64-bit SimHash of its shingles. Items are
    indexed by 8-bit blocks: within ``radius`` of an item, some block lies within
    ``radius // 8`` bits of its own, so each item is listed under all such
@@ -91,15 +91,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold:
     items = written(items.select("item_id", "w", F.size("w").alias("n_words"), _hashes(F.col("w"), width).alias("h")), "items")
     small = items.agg(F.sum(F.size("h"))).first()[0] or 0
 
-    # windows on shared shingles
-    seeds = items.select("item_id", "n_words", F.posexplode("h").alias("at", "shingle"))
+    # every window with enough shingles of the item: shared / (both - shared) >= threshold
+    seeds = items.select(F.xxhash64("w").alias("item_key"), "n_words", F.explode("h").alias("shingle")).distinct()
     texts = docs.select("text").where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    places = texts.select("text_key", F.posexplode(_hashes(F.col("w"), width)).alias("place", "shingle"))
-    hits = places.join(fits(seeds, small), "shingle").select("text_key", "n_words", (F.col("place") - F.col("at")).alias("start")).distinct()
+    places = texts.select("text_key", F.size("w").alias("size"), F.posexplode(_hashes(F.col("w"), width)).alias("place", "shingle"))
+    hits = places.join(fits(seeds, small), "shingle").groupBy("text_key", "size", "item_key", "n_words").agg(F.array_sort(F.collect_set("place")).alias("p"))
+    count = lambda n: F.greatest(n - (width - 1), F.lit(1))
+    held, of_item = count(F.least("size", "n_words")), count(F.col("n_words"))
+    hits = hits.withColumn("held", held).withColumn("need", F.greatest(F.lit(1), F.ceil((held + of_item) * (threshold / (1 + threshold)) - 1e-9)).cast("int"))
+    # so many places in a row, from p[i] on, share the windows that start from first to last
+    span = lambda p, i: F.struct(F.greatest(F.lit(0), F.get("p", i + F.col("need") - 1) - F.col("held") + 1).alias("first"), F.least(p, F.greatest(F.lit(0), F.col("size") - F.col("n_words"))).alias("last"))
+    spans = F.filter(F.transform(F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - F.col("need") + 1)), span), lambda x: x["first"] <= x["last"])
+    hits = hits.select("text_key", "n_words", F.explode(spans).alias("x")).select("text_key", "n_words", F.explode(F.sequence("x.first", "x.last")).alias("start")).distinct()
     hits = written(hits.groupBy("text_key").agg(F.collect_list(F.struct("n_words", "start")).alias("windows")), "windows")
     held = texts.join(fits(hits, hits.count()), "text_key").select("text_key", "windows", "w").dropDuplicates(["text_key"])
-    each = held.select("text_key", "w", F.explode("windows").alias("x")).select("text_key", "w", "x.n_words", F.greatest(F.lit(0), F.least("x.start", F.size("w") - F.col("x.n_words"))).alias("window_start"))
-    each = each.select("text_key", "n_words", "window_start", F.slice("w", F.col("window_start") + 1, F.col("n_words")).alias("w")).distinct()
+    each = held.select("text_key", "w", F.explode("windows").alias("x")).select("text_key", "x.n_words", F.col("x.start").alias("window_start"), F.slice("w", F.col("x.start") + 1, F.col("x.n_words")).alias("w"))
     each = written(each.select("text_key", "n_words", "window_start", "w", _hashes(F.col("w"), width).alias("h")), "windows")
 
     # the index: items of the window's size under every block value near their own

@@ -45,6 +45,22 @@ def test_leaks_by_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.15 for k in want)
 
 
+def test_items_whose_parts_stand_in_another_order(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items, docs = {}, {}
+    for i, n in enumerate([35, 45, 50, 59, 80, 120] * 4):
+        items[i] = v = [word() for _ in range(n)]
+        parts = [v[n // 2 :], v[: n // 2]] if i < 18 else [v[2 * n // 3 :], v[n // 3 : 2 * n // 3], v[: n // 3]]
+        around = [word() for _ in range(rng.choice([0, 3, 200]))]
+        docs[i] = " ".join(around + sum(parts, []) + around)
+        docs[100 + i] = " ".join(sum(parts, [])[: n - n // 12])  # shorter than the item
+    items = {i: " ".join(v) for i, v in items.items()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = {(d, i): s for d, t in docs.items() for i, x in items.items() if (s := best(t, x)) >= 0.8}
+    assert len(want) > 15 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_every_print_within_the_radius_is_found():
     rng, masks = random.Random(1), set(decontaminate._masks(25 // decontaminate.BLOCKS))
     for _ in range(2000):
