@@ -2,6 +2,7 @@
 
 ``covered`` tells which documents those are: their tokens add up to their bytes and none is of a kind only the
 full tokenizer reads. ``tokens`` gives one row for each token of these, in order, with its byte position.
+``tag_names`` takes any documents: those not covered go through the full tokenizer.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import ParserConfig
+from ..sources.parse import parse
+
 _RAW = r"(?i:<(?:script|style)\b[^>]*+>)[\s\S]*?(?=(?i:</(?:script|style)\s*>))"
 _TAG = r"<[A-Za-z_:](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>"
 XML = rf"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<!DOCTYPE[^\[>]*+>|<\?[\s\S]*?\?>|</[^<>]*+>|{_TAG}|[^<]++|<"
@@ -39,10 +43,26 @@ def kind(token: Column) -> Column:
     )
 
 
+def _raw_closed() -> Column:
+    """Whether each script and style is a plain tag whose own end tag comes next."""
+
+    def closed(t: Column, i: Column) -> Column:
+        after = F.coalesce(F.get("tokens", i + 1), F.lit(""))
+        same = [t.rlike(rf"(?i)\A<{n}[\s>]") & after.rlike(rf"(?i)\A</{n}\s*>") for n in ("script", "style")]
+        return ~t.rlike(r"(?i)\A<(?:script|style)") | same[0] | same[1]
+
+    return F.size(F.filter("tokens", lambda t, i: ~closed(t, i))) == 0
+
+
 def tag_names(docs: DataFrame, text: str = "xml", mode: str = "xml") -> DataFrame:
-    """(doc_id, place, name) of all start tags: no exchange, no Python."""
-    rows = tokenized(docs, text, mode).select("doc_id", F.posexplode("tokens").alias("place", "token"))
-    return rows.where(kind(F.col("token")) == "start_element").select("doc_id", "place", F.regexp_extract("token", r"\A<([^\s/>]+)", 1).alias("name"))
+    """(doc_id, place, name) of all start tags, ``place`` in order within the document: no exchange, and
+    Python only for documents that aren't covered."""
+    all_ = tokenized(docs, text, mode)
+    plain = F.coalesce(covered() & _raw_closed() if mode == "html" else covered(), F.lit(False))
+    rows = all_.where(plain).select("doc_id", F.posexplode("tokens").alias("place", "token"))
+    rows = rows.where(kind(F.col("token")) == "start_element").select("doc_id", "place", F.regexp_extract("token", r"\A<([^\s/>]+)", 1).alias("name"))
+    rest = parse(all_.where(~plain).select("doc_id", "source"), text="source", config=ParserConfig(mode=mode, positions="none"))
+    return rows.unionByName(rest.where("event_type = 'start_element'").select("doc_id", F.col("seq").cast("int").alias("place"), "name"))
 
 
 def tokens(docs: DataFrame, text: str = "xml", mode: str = "xml") -> DataFrame:

@@ -32,6 +32,16 @@ def test_lexer_agrees_with_the_tokenizer(spark):
     assert fast == full
 
 
+def test_tag_names_of_pages_that_the_lexer_does_not_cover(spark):
+    source = docs(
+        spark, '<a title="1<2" href="/x">t</a>', "<p title=it's>x</p>", '<div data-t="<b>x</b>"><i>y</i></div>', "<p>1 < 2<br></p>", "<script>if (a<b) '<i>'", "<script>'</style><b>'</script><u></u>",
+        "<script-x><b></b></script-x><script></script>", "<b><style>a>b{}</style><i/></b>", None, "", "<!-- <b>",
+    )
+    got = sorted((r[0], r[1]) for r in lexer.tag_names(source, mode="html").select("doc_id", "name").collect())
+    want = sorted((r[0], r[1]) for r in parse(source, config=ParserConfig(mode="html")).where("event_type = 'start_element'").select("doc_id", "name").collect())
+    assert got == want and {(0, "a"), (1, "p"), (2, "div"), (2, "i")} <= set(got) and (2, "b") not in got
+
+
 def test_serialised_text_parses_to_the_same(spark):
     texts = ['<?xml version="1.0"?><a b="&lt;&quot;">x<c/><!--y--><?t d?><![CDATA[z]]></a>', "<a>\n  <b>1</b>\n</a>"]
     out = {r[0]: r[1] for r in serialize.to_text(resolve.entities(parse(docs(spark, *texts)))).collect()}
