@@ -278,6 +278,16 @@ def _(spark, d):
     return rows.where((c("doc_id") % len(docs.FAULTS)).isin(5, 11)).groupBy("doc_id").agg((F.count("*") + F.when(c("doc_id") % len(docs.FAULTS) == 5, 1).otherwise(0)).alias("n"))
 
 
+#: Events of each faulty document up to its first error, both counted, or up to its end; start_document is the first.
+_UNTIL_ERROR = (6, 5, 2, 2, 4, 4, 6, 5, 5, 5, 4, 2, 4, 4, 4, 2, 2, 3, 4, 3, 5, 4, 4, 4, 4)
+
+
+# F3_halt_on_error answers for two of the faults and adds 1 to one count; this gives the operator's count for every document.
+@query("F3_halt_on_error_everywhere", f"SELECT o_orderkey AS doc_id, CAST(v.n AS BIGINT) AS n FROM orders JOIN (VALUES {', '.join(map(str, enumerate(_UNTIL_ERROR)))}) v(i, n) ON o_orderkey % {len(docs.FAULTS)} = v.i")
+def _(spark, d):
+    return stream.halt_on_error(parse(docs.faulty(spark, d))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query("F5_check_errors", f"SELECT o_orderkey AS doc_id, o_orderkey % {len(docs.FAULTS)} NOT IN ({', '.join(str(i) for i, (_, k) in enumerate(docs.FAULTS) if k in _PARSER)}) AS ok FROM orders")
 def _(spark, d):
     return stream.check_errors(parse(docs.faulty(spark, d))).select("doc_id", "ok")
