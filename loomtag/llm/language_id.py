@@ -11,9 +11,12 @@ labelled texts, of at most ``max_chars`` characters, of each of the
 
 A text that is null or has no letter is ``und`` with score 0, and rejected. A
 text of ``min_letters`` letters or more is *rejected* if its best cosine is
-under ``slack`` times that of the least typical training text; its nearest
-language is still named. ``dims`` is a power of two. Ties go to the label
-that sorts first.
+under the floor of its nearest language at its number of letters; that language
+is still named. Short texts have lower cosines, so floors are set from the
+beginnings of the training texts, cut to 1, 2, 4, 8, 16 and 32 times
+``min_letters``: ``share`` times the ``low`` quantile of their cosines with
+their own language. A text goes by the greatest such number that it reaches.
+``dims`` is a power of two. Ties go to the label that sorts first.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from .common import released
 
 UNDETERMINED = "und"
 _SPACE = 32
+_STEPS = 6
 _TABLE: list[np.ndarray] = []
 
 
@@ -69,7 +73,7 @@ class CentroidModel:
     owner: np.ndarray  #: of each centroid, an index into labels
     centroids: np.ndarray  #: rows of length one
     idf: np.ndarray
-    floor: float  #: least cosine that isn't rejected
+    floor: np.ndarray  #: least cosine that isn't rejected, by label and number of letters
     min_letters: int  #: texts with fewer are too short to be rejected for distance
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -81,19 +85,47 @@ class CentroidModel:
         best = cos.argmax(1)
         score = np.where(letters > 0, np.clip(cos[np.arange(len(texts)), best], 0, 1), 0.0)
         names = [self.labels[self.owner[b]] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
-        return names, score.astype(np.float64), (letters == 0) | (letters >= self.min_letters) & (score < self.floor)
-
-
-def fit(texts: list[str], labels: list[str], dims: int = 1 << 12, clusters: int = 4, slack: float = 0.25, min_letters: int = 20, rounds: int = 8) -> CentroidModel:
+        step = np.clip(np.log2(np.maximum(letters, 1) / max(self.min_letters, 1)).astype(int), 0, self.floor.shape[1] - 1)
+        return names, score.astype(np.float64), (letters == 0) | (letters >= self.min_letters) & (score < self.floor[self.owner[best], step])
+
+
+def _beginning(text: str, letters: int) -> str | None:
+    """A text up to so many letters, if it has them."""
+    for i, ch in enumerate(text):
+        letters -= ch.isalpha()
+        if letters <= 0:
+            return text[: i + 1]
+    return None
+
+
+def _floors(texts: list[str], centroids: np.ndarray, idf: np.ndarray, min_letters: int, low: float, share: float) -> list[float]:
+    """Of one language, for each number of letters; one that fewer than 20 texts reach goes by the number before."""
+    out: list[float] = []
+    for k in range(_STEPS):
+        cut = [t for t in (_beginning(t, max(min_letters, 1) << k) for t in texts) if t]
+        if len(cut) < 20:
+            if out:
+                out.append(out[-1])
+                continue
+            cut = texts
+        cosines = []
+        for i in range(0, len(cut), 64):
+            x = gram_counts(cut[i : i + 64], len(idf))[0] * idf
+            cosines.append((x @ centroids.T).max(1) / np.maximum(np.linalg.norm(x, axis=1), 1e-12))
+        out.append(share * float(np.quantile(np.concatenate(cosines), low)))
+    return out
+
+
+def fit(texts: list[str], labels: list[str], dims: int = 1 << 12, clusters: int = 4, low: float = 0.01, share: float = 0.85, min_letters: int = 20, rounds: int = 8) -> CentroidModel:
     """Fit on texts in memory. Needs one text with a letter at least."""
     x = np.concatenate([gram_counts(texts[i : i + 64], dims)[0] for i in range(0, len(texts), 64)])
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x *= idf
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     keep = norm > 0
-    x, y = x[keep] / norm[keep, None], np.array(labels, object)[keep]
+    x, y, texts = x[keep] / norm[keep, None], np.array(labels, object)[keep], [t for t, k in zip(texts, keep, strict=True) if k]
     names = sorted(set(y.tolist()))
-    owner, rows, least = [], [], 1.0
+    owner, rows, floor = [], [], []
     for k, name in enumerate(names):
         own = x[y == name]
         # seeds: the mean, then each time the text furthest from those so far
@@ -105,10 +137,10 @@ def fit(texts: list[str], labels: list[str], dims: int = 1 << 12, clusters: int
             near = (own @ c.T).argmax(1)
             c = np.stack([own[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))])
             c /= np.linalg.norm(c, axis=1, keepdims=True)
-        least = min(least, float((own @ c.T).max(1).min()))
+        floor.append(_floors([t for t, l in zip(texts, y, strict=True) if l == name], c, idf, min_letters, low, share))
         owner += [k] * len(c)
         rows.append(c)
-    return CentroidModel(names, np.array(owner), np.concatenate(rows).astype(np.float32), idf, slack * least, min_letters)
+    return CentroidModel(names, np.array(owner), np.concatenate(rows).astype(np.float32), idf, np.array(floor), min_letters)
 
 
 def fit_on(docs: DataFrame, per_language: int = 400, max_languages: int = 200, max_chars: int = 20_000, **how) -> CentroidModel:

@@ -95,6 +95,33 @@ def test_languages_on_held_out_texts(spark):
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95 and all(0 <= r.score <= 1 and not r.rejected for r in got)
 
 
+OTHER = {
+    "it": "il lo gli di che è un una sono con per non della anche come più ma si alla questo",
+    "fi": "ja on ei se että hän olla joka mutta niin kuin tämä oli myös sekä mukaan kanssa jälkeen",
+    "tr": "ve bir bu için ile çok daha olarak gibi sonra kadar ama değil olan göre şey zaman",
+    "pl": "i w na z do nie się jest to że jak po ale od przez przy tylko jego także może",
+}
+
+
+def test_untrained_languages_and_random_letters_are_rejected():
+    rng = random.Random(4)
+    texts, labels = zip(*((said(rng, x, rng.randrange(5, 300)), x) for x in SAY for _ in range(200)), strict=True)
+    model = language_id.fit(list(texts), list(labels))
+    letters = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(60))
+    strange = [" ".join(rng.choice(v.split()) for _ in range(60)) for v in OTHER.values() for _ in range(20)] + [letters() for _ in range(20)]
+    assert model.predict(strange)[2].all()
+    clean = [said(rng, x, n) for x in SAY for n in (8, 15, 40, 100, 500) for _ in range(20)]
+    assert model.predict(clean)[2].mean() < 0.01
+
+
+def test_one_odd_text_lowers_no_floor():
+    rng = random.Random(5)
+    texts, labels = [said(rng, x, 60) for x in SAY for _ in range(200)], [x for x in SAY for _ in range(200)]
+    before = language_id.fit(texts, labels).floor
+    after = language_id.fit([*texts, "qxz jqk vvx " * 20], [*labels, "en"]).floor
+    assert (after > before - 0.05).all()
+
+
 def test_languages_of_odd_tables(spark, odd, empty, clashing):
     rng = random.Random(3)
     model = language_id.fit([said(rng, x, 40) for x in SAY for _ in range(20)], [x for x in SAY for _ in range(20)])
