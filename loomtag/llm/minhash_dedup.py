@@ -21,8 +21,9 @@
    of the links. Lists that still span several families give their pairs across
    families, decided as in step 3; of those longer than ``long_list``, such as
    a widespread passage makes, the members are listed anew under runs of up to
-   five values, which linked sets of up to k members share as
-   surely, and larger ones but for about two in a million. So no link between components is lost, and
+   five values (four where five would miss too much: at 0.8), which linked sets
+   of up to k members share as surely, and larger ones but for four in a million
+   at 0.85 and one in a million at 0.8. So no link between components is lost, and
    a large group of near copies never becomes rows for all its pairs.
 
 A document without words links with nothing, nor does one without doc_id;
@@ -94,6 +95,19 @@ def run_lengths(size: int, t: Fraction, most: int = 3) -> set[int]:
     return {shared_run(u, t, most) for u in range(size, math.floor(size / t) + 1)} - {0} if size < 1000 else {most}
 
 
+def missed(r: int, t: float, k: int) -> float:
+    """How likely no run of ``r`` shared values is among ``k`` that are each shared with probability t."""
+    state = [1.0] + [0.0] * (r - 1)  # by the length of the run so far
+    for _ in range(k):
+        state = [sum(state) * (1 - t)] + [x * t for x in state[:-1]]
+    return sum(state)
+
+
+def longest_run(t: float, k: int, most: int = 5, at_most: float = 5e-6) -> int:
+    """The longest run, up to ``most``, that is missed so rarely; three at least."""
+    return max([3, *(r for r in range(4, most + 1) if missed(r, t, k) <= at_most)])
+
+
 def _runs(sketch: Column, r: int) -> Column:
     def run(i: Column) -> Column:
         return F.xxhash64(F.lit(r), *[F.get(sketch, i + j) for j in range(r)])
@@ -231,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k:
 
     spread = written(still_open(shared.select("run", "rep")), "open")
     long_ = classes.join(spread.where(F.col("length") > long_list).select("rep").distinct(), "rep")
-    longer = still_open(_lists(long_, t, most=5).distinct())
+    longer = still_open(_lists(long_, t, most=longest_run(float(t), k)).distinct())
     spread = written(spread.where(F.col("length") <= long_list).unionByName(longer), "open")
     side = lambda x: spread.select("run", F.col("rep").alias(x), F.col("family").alias(f"f_{x}"), F.col("n").alias(f"n_{x}"))
     across = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (float(t) - 1e-9)))

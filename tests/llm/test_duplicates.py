@@ -189,3 +189,11 @@ def test_shingles():
     s = Shingler(3)
     assert len(s("a b")) == len(s("A\tb")) == 1 and (s("a b") == s("A\x0bB")).all() and len(s(None)) == len(s(" \n")) == 0 and len(s("a b c d a b c d")) == 4
     assert len(s("a\u00a0b")) == 1 and not (s("a\u00a0b") == s("a b")).all()
+
+
+def test_longer_runs_are_missed_as_rarely_at_each_threshold():
+    from loomtag.llm.minhash_dedup import longest_run, missed
+
+    assert (longest_run(0.85, 64), longest_run(0.8, 64)) == (5, 4)
+    assert missed(5, 0.8, 64) > 1e-4 and all(missed(longest_run(t, 64), t, 64) < 5e-6 for t in (0.8, 0.85, 0.9))
+    assert abs(missed(2, 0.5, 3) - 5 / 8) < 1e-12
