@@ -23,11 +23,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that of the smallest doc_id; of rows that repeat it, one. Rows without doc_id stay."""
+    """One row of each group: that of the smallest doc_id; of rows that repeat its doc_id and text, one. Rows without doc_id stay."""
     found = minhash_dedup.near_duplicates(docs)
     gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     few = gone.count() <= 500_000
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    again = F.broadcast(again) if again.count() <= 500_000 else again
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,6 +133,15 @@ def test_languages_of_odd_tables(spark, odd, empty, clashing):
     assert model.predict(["ж" * 50])[2][0]  # far from all
 
 
+def test_rows_that_repeat_a_kept_document_leave_one(spark, odd):
+    import corpus_pipeline
+
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, odd, "").collect()]
+    ids = [i for i, _ in left]
+    assert ids.count(1) == 1 and ids.count(2) == 0 and ids.count(None) == 2
+    assert {*ids} == {None, 1, 3, 4, 5, 6, 8, 9, 10, 11}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from loomtag.llm.minhash_dedup import near_duplicates
