@@ -53,7 +53,7 @@ SHAPES = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in SHAPES.values())
 #: A text without any of these holds no entity.
-_HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_key|api-key|apikey|access_key)|(?<!\p{{L}}){_TITLE} \p{{Lu}}"
+_HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_key|api-key|apikey|access_key)|\b(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|ASIA)[-_]?[A-Za-z0-9_-]{{16}}|[a-fA-F]{{32}}|(?<!\p{{L}}){_TITLE} \p{{Lu}}"
 #: What is secret in a match: its end, without the word before it.
 _VALUE = r"[A-Za-z0-9_+/-]{8,}=*\z"
 _ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"

@@ -58,3 +58,18 @@ def test_odd_tables(odd, empty, clashing):
     assert replace_entities(empty, "k").count() == 0
     same = {(r.doc_id, r.text) for r in replace_entities(odd, "k").where("n_entities = 0").select("doc_id", "text").collect()}
     assert same == {(r.doc_id, r.text) for r in odd.where("doc_id <> 10 OR doc_id IS NULL").collect()}
+
+
+def test_every_shape_implies_the_hint(spark):
+    from loomtag.llm.surrogates import _HINT, SHAPES
+
+    alone = {
+        "email": ["a@b.example"], "iban": ["GB82 WEST 1234 5698 7654 32"], "phone": ["+1 (743) 555-3824", "743-555-3824"], "ip": ["70.23.22.57"], "ssn": ["078-05-1120"], "card": ["4845168114407329"], "name": ["Herr Meier", "г-жа Иванова"],
+        "secret": ["Password=abcdefgh", "api-key: abcdefgh", "APIKEY=abcdefgh", "deadbeefcafeabad" * 2, *(f"{p}{s}AbCdEfGhIjKlMnOpQr" for p in ("sk", "pk", "ghp", "gho", "xoxb", "xoxp", "AKIA", "ASIA") for s in ("", "-", "_"))],
+    }
+    assert alone.keys() == SHAPES.keys()
+    rows = spark.createDataFrame([(k, x) for k, xs in alone.items() for x in xs], "kind string, text string")
+    for k, p in SHAPES.items():
+        assert rows.where(F.col("kind") == k).where(F.col("text").rlike(p) & F.col("text").rlike(_HINT)).count() == len(alone[k])
+    (out,) = run(spark, "use sk_liveAbCdEfGhIjKlMnOpQr here")
+    assert "sk_liveAbCdEfGhIjKlMnOpQr" not in out and out.startswith("use ") and out.endswith(" here")
