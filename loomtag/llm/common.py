@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,19 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(name: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this worker process from task to task. Only the last name's is kept: a worker
+    that goes on to another stage frees what the one before has learnt."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``most`` bytes of a text or binary column, of one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)

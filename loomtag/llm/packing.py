@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import released, slices
+from .common import kept, released, slices
 
 #: Signs that end words often; none of them is a letter, a digit or an apostrophe.
 _SIGNS = ".,;:!?*#$%&|-)"
@@ -102,7 +102,7 @@ class WordEncoder:
     Arrow takes for white space and the library doesn't, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import json
         import os
 
@@ -158,7 +158,11 @@ class WordEncoder:
         odd = [x for x in new if not (x.isalpha() or not x.strip(_SIGNS))]
         for i in range(0, len(odd), 2048):
             part.update(zip(odd[i : i + 2048], self._encode(odd[i : i + 2048]), strict=True))
-        return [part[core] + part[tail] if tail else part[core] for core, tail in halves]
+        out = [part[core] + part[tail] if tail else part[core] for core, tail in halves]
+        for x in new:
+            if len(x) > 64:  # what is kept is bounded in bytes too
+                del part[x]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = {k for k, t in enumerate(texts) if self.whole(t)}
@@ -172,14 +176,9 @@ class WordEncoder:
         return [self._encode([t])[0] if k in whole else bytes(data[s:e]) for k, (t, s, e) in enumerate(zip(texts, ends, ends[1:], strict=False))]
 
 
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
-
-
-def word_encoder(path: str, keep: int = 350_000) -> WordEncoder:
+def word_encoder(path: str, keep: int = 200_000) -> WordEncoder:
     """One encoder for each file and worker process, which keeps what it has learnt from task to task."""
-    if (path, keep) not in _ENCODERS:
-        _ENCODERS[path, keep] = WordEncoder(path, keep)
-    return _ENCODERS[path, keep]
+    return kept(("words", path, keep), lambda: WordEncoder(path, keep))
 
 
 def _emit(first: int, docs: list, ids: list[bytes], window: int, with_ids: bool) -> tuple[pa.RecordBatch, int]:
@@ -216,8 +215,8 @@ def pack(
     window: int = 2048,
     end_id: int = 1,
     with_ids: bool = True,
-    group_docs: int = 16384,
-    group_tokens: int = 8_000_000,
+    group_docs: int = 8192,
+    group_tokens: int = 1_000_000,
 ) -> DataFrame:
     """Pack ``docs(doc_id, text)``: a row for each piece, as in ``SCHEMA``.
 
@@ -231,7 +230,7 @@ def pack(
         encode = encoder()
         base, made, docs_, ids, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 new = [b + end for b in encode([t or "" for t in part.column(1).to_pylist()])]
                 docs_ += part.column(0).to_pylist()
                 ids += new

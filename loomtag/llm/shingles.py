@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import kept
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,11 +49,6 @@ class Shingler:
         return np.unique(acc)
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(width: int) -> Shingler:
     """One for each width and worker process, which keeps the words it has met from task to task."""
-    if width not in _SHINGLERS:
-        _SHINGLERS[width] = Shingler(width)
-    return _SHINGLERS[width]
+    return kept(("shingles", width), lambda: Shingler(width))

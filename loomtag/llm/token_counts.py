@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import kept, slices
+
 #: The published split pattern of this tokenizer family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -129,14 +131,9 @@ class MergeCounter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
-_COUNTERS: dict[str, MergeCounter] = {}
-
-
 def merge_counter(path: str) -> MergeCounter:
     """One counter for each file and worker process, which keeps what it has learnt from task to task."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = MergeCounter(path)
-    return _COUNTERS[path]
+    return kept(("tokens", path), lambda: MergeCounter(path))
 
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -148,8 +145,7 @@ def count_tokens(docs: DataFrame, counter: Callable[[], Callable[[str], int]], l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter()
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 1, 1 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n = [count(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
