@@ -46,7 +46,7 @@ def test_leaks_by_force(spark):
         docs[d] = " ".join(w)
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
     want = {(d, i): s for d, t in docs.items() for i, x in items.items() if (s := best(t, x)) >= 0.8}
-    assert len(want) > 40 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(want) > 30 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_prints_by_force(spark):

@@ -52,8 +52,66 @@ def test_clashes_are_resolved(spark):
     assert len({r.made for r in out}) == 3000 and not {r.made for r in out} & {r.norm for r in out}
 
 
+def test_names_of_one_person_and_of_other_scripts(spark):
+    full, short, other, greek, cc = run(spark, "Mr John Smith", "Mr Smith", "Mrs Ann Smith and Mr John Roe", "κύριος Παπαδόπουλος", "+33 123 456 789 and +49 3012 3456")
+    assert full.split()[2] == short.split()[1] == other.split()[2] != "Smith" and full.split()[1] == other.split()[5] != "John" and other.split()[6] != full.split()[2]
+    assert re.fullmatch(r"κύριος [Ͱ-Ͽἀ-῿]+", greek) and greek != "κύριος Παπαδόπουλος" and re.fullmatch(r"\+33 \d{3} \d{3} \d{3} and \+49 \d{4} \d{4}", cc) and "456" not in cc
+
+
+def test_more_names_than_short_ones_there_are(spark):
+    """More surnames, first names and one-letter addresses than the shortest form has."""
+    rows = spark.range(9000).select(F.explode(F.array(F.struct(F.lit("last").alias("kind"), F.concat(F.lit("- S"), F.col("id")).alias("norm")), F.struct(F.lit("first").alias("kind"), F.concat(F.lit("m F"), F.col("id") % 300).alias("norm")), F.struct(F.lit("email").alias("kind"), F.concat(F.char(97 + F.col("id") % 26), F.lit("@"), F.char(97 + F.floor(F.col("id") / 26) % 26), F.lit(".org")).alias("norm")))).alias("x")).select("x.*").distinct()
+    out = distinct_surrogates(rows, "k").collect()
+    assert len(out) == rows.count() == len({(r.kind, r.made) for r in out}) and not {(r.kind, r.made) for r in out} & {(r.kind, r.norm) for r in out}
+
+
+def test_by_force(spark):
+    """The whole operator against plain Python around the map that it made: what is found, what stays, one to one."""
+    base = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(base).select("doc_id", "text")
+    got = {r.doc_id: (r.text, r.n_entities) for r in replace_entities(docs, "k").collect()}
+    octets = lambda x: all(int(o) < 256 for o in x.split("."))
+    plain = {  # another reading of the kinds that the table holds
+        "email": (r"[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", lambda x: True),
+        "secret": r'(?:password|token)\s?=\s?"?([A-Za-z0-9]{8,})',
+        "phone": (r"\+\d \(\d{3}\) \d{3}-\d{4}", lambda x: True),
+        "ip": (r"(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])", octets),
+        "card": (r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)", lambda x: luhn(re.sub(r"\D", "", x)) and re.match("4|5[1-5]|2[2-7]|3[47]|6", x)),
+    }
+    pairs, changed = {}, 0
+    for r in docs.collect():
+        text, n = got[r.doc_id]
+        want = set()
+        for kind, rule in plain.items():
+            pattern, test = rule if isinstance(rule, tuple) else (rule, lambda x: True)
+            for m in re.finditer(pattern, r.text or "", re.A):
+                if test(m[0]):
+                    want.add((m.start(1 if m.re.groups else 0), m.end(), kind))
+        if not want:
+            assert text == r.text and n == 0
+            continue
+        changed += 1
+        assert n == len(want)
+        at, shift = 0, 0
+        order = sorted(want)
+        for (s, e, kind), after in zip(order, [*(x[0] for x in order[1:]), len(r.text)], strict=True):
+            assert text[at + shift : s + shift] == r.text[at:s]  # what lies between stays
+            tail = r.text[e : min(e + 12, after)]
+            end = text.index(tail, s + shift) if tail else len(text)
+            norm = lambda x: re.sub(r"\D", "", x) if kind in ("card", "phone") else x.lower() if kind == "email" else x  # noqa: E731, B023
+            made = norm(text[s + shift : end])
+            assert pairs.setdefault((kind, norm(r.text[s:e])), made) == made
+            at, shift = e, end - e
+        assert text[at + shift :] == r.text[at:]
+    made = [(k, v) for (k, _), v in pairs.items()]
+    assert changed > 50 and len({*made}) == len(made) and not {*made} & {*pairs}
+
+
 def test_odd_tables(odd, empty, clashing):
     out = replace_entities(clashing, "k")
+    theirs = clashing.withColumns({x: F.lit(7) for x in ("n_entities", "key", "c0", "__key", "__n", "new", "found")})
+    again = replace_entities(theirs, "k")
+    assert again.columns == [*theirs.columns, "n_entities_"] and {(r.n_entities, r.key) for r in again.collect()} == {(7, 7)} and again.where("n_entities_ > 0").count() == 1
     assert out.columns == [*clashing.columns, "n_entities"] and out.count() == clashing.count() and out.where("n_entities > 0").count() == 1
     assert replace_entities(empty, "k").count() == 0
     same = {(r.doc_id, r.text) for r in replace_entities(odd, "k").where("n_entities = 0").select("doc_id", "text").collect()}
