@@ -2,13 +2,16 @@
 
 An orthogonal basis from the second moments of all vectors is ordered by
 falling variance, so that leading coordinates carry most of a cosine. Tiles of
-two bands of vectors are compared by leading coordinates first; the rest of
-each product is bounded by the product of the two suffix norms, and a tile is
-left as soon as no pair's bound reaches the threshold. Pairs that survive are
-decided on the original vectors in double precision.
+two bands of vectors accumulate leading coordinates first; the rest of each
+product is bounded by the product of the two suffix norms. Rows and columns of
+which no pair's bound reaches the threshold leave the tile, and a tile without
+any is done. Pairs that survive are decided on the original vectors in double
+precision.
 
 Every vector is dealt to one of ``p`` bands by its id, and each task holds two
-bands of at most ``band_bytes``. A task gives link counts by vector and a
+bands of at most ``band_bytes``. All pairs are compared, so every vector goes to
+p tasks: what is shuffled grows with the square of the vectors, over the size of
+a band. A task gives link counts by vector and a
 spanning forest of its links, never the pairs themselves, so a large group of
 near copies costs no more rows than vectors.
 
@@ -82,28 +85,39 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stages(dim: int) -> list[int]:
-    return sorted({k for k in (dim // 4, dim // 2) if k} | {dim})
-
-
-def tile_links(a: np.ndarray, b: np.ndarray, ra: list, rb: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) with cosine >= threshold. ra, rb: for each stage the leading rotated
-    coordinates with the suffix norm beside them, so that one product gives the bound."""
-    for x, y in zip(ra, rb, strict=True):
-        alive = x @ y.T >= threshold - _SLACK
-        if not alive.any():
+    return sorted({k for k in (dim // 8, dim // 4, dim // 2) if k} | {dim})
+
+
+def tile_links(ra: list, rb: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of a, row of b) whose bound reaches the threshold to the end. ra, rb: for each stage the next
+    rotated coordinates and the norm of those behind them. Products add up from stage to stage, and only
+    over rows and columns that still hold a pair."""
+    rows, cols = np.arange(len(ra[0][0])), np.arange(len(rb[0][0]))
+    total = np.zeros((len(rows), len(cols)))
+    for (x, left), (y, right) in zip(ra, rb, strict=True):
+        total += x[rows] @ y[cols].T
+        alive = total + left[rows, None] * right[None, cols] >= threshold - _SLACK
+        r, c = alive.any(1), alive.any(0)
+        if not r.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        if not (r.all() and c.all()):
+            total, alive, rows, cols = total[r][:, c], alive[r][:, c], rows[r], cols[c]
     i, j = np.nonzero(alive)
-    cos = np.concatenate([np.einsum("ij,ij->i", a[i[s : s + 65536]], b[j[s : s + 65536]]) for s in range(0, len(i), 65536)])
-    return i[cos >= threshold], j[cos >= threshold]
+    return rows[i], cols[j]
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs reach the threshold on the original vectors."""
+    parts = [np.einsum("ij,ij->i", a[i[s : s + 65536]], b[j[s : s + 65536]]) for s in range(0, len(i), 65536)]
+    return np.concatenate(parts) >= threshold if parts else np.empty(0, bool)
 
 
-def _staged(unit: np.ndarray, basis: np.ndarray) -> list[np.ndarray]:
-    r = unit @ basis
-    rest = np.sqrt(np.cumsum((r * r)[:, ::-1], axis=1)[:, ::-1])
-    out = []
-    for k in _stages(unit.shape[1]):
-        tail = rest[:, k : k + 1] if k < unit.shape[1] else np.zeros((len(r), 1))
-        out.append(np.ascontiguousarray(np.concatenate([r[:, :k], tail], axis=1)))
+def _staged(rotated: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    rest = np.sqrt(np.cumsum((rotated * rotated)[:, ::-1], axis=1)[:, ::-1])
+    out, at, dim = [], 0, rotated.shape[1]
+    for k in _stages(dim):
+        out.append((np.ascontiguousarray(rotated[:, at:k]), rest[:, k] if k < dim else np.zeros(len(rotated))))
+        at = k
     return out
 
 
@@ -111,19 +125,23 @@ def band_links(ids: np.ndarray, x: np.ndarray, band: np.ndarray, basis: np.ndarr
     """Compare two bands with each other, or one band with itself: for each row how many rows of
     another id it links with here, and a row of its connected set here."""
     unit, _ = _unit(x)
-    staged = _staged(unit, basis)
+    rotated = unit @ basis
+    staged, lead = _staged(rotated), rotated[:, 0]
     names = np.unique(band)
-    first = np.nonzero(band == names[0])[0]
-    second = first if len(names) == 1 else np.nonzero(band == names[1])[0]
+    # by the leading coordinate, so that a tile's vectors are alike and tiles far apart stop early
+    of_band = lambda name: (k := np.nonzero(band == name)[0])[np.argsort(lead[k], kind="stable")]
+    first = of_band(names[0])
+    second = first if len(names) == 1 else of_band(names[1])
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
     for s in range(0, len(first), tile):
         p = first[s : s + tile]
-        rp = [m[p] for m in staged]
+        rp = [(m[p], n[p]) for m, n in staged]
         for t in range(s if second is first else 0, len(second), tile):
             q = second[t : t + tile]
-            i, j = tile_links(unit[p], unit[q], rp, [m[q] for m in staged], threshold)
-            i, j = p[i], q[j]
-            keep = (ids[i] != ids[j]) & ((i < j) if second is first and s == t else True)
+            i, j = tile_links(rp, [(m[q], n[q]) for m, n in staged], threshold)
+            once = i < j if second is first and s == t else np.ones(len(i), bool)
+            i, j = p[i[once]], q[j[once]]
+            keep = _exact(unit, unit, i, j, threshold) & (ids[i] != ids[j])
             i, j = i[keep], j[keep]
             if not len(i):
                 continue

@@ -1,11 +1,15 @@
 """Deduplicated WARC archives with revisit resolution.
 
-Headers (page id, payload digest, length) are shuffled by digest; in each set
-of equal payloads of at least ``min_bytes`` bytes, the record with the largest
-page id is the *response* and every other one a *revisit* that names it.
+Headers (page id, payload digest, length) go to a table of their own and are
+grouped by digest; in each set of equal payloads of at least ``min_bytes``
+bytes, the record with the largest page id is the *response* and every other
+one a *revisit* that names it. Only the digests that several records have, and
+then only the revisits, come back to the pages, by page id and digest: payloads
+stay where they are unless there are more revisits than may be broadcast.
 Records are then written with fresh headers as WARC/1.1 archives by Spark's
 text sink, so any file system that Spark reaches will do, and read back by
-Content-Length.
+Content-Length. Larger payloads go to archives of fewer records, so that none
+outgrows what a reader takes at once.
 
 A null html is an empty payload. A null page_id is never the one others
 revisit unless all of its set are null, and then all are responses; of rows
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 #: Fixed value: the alphabet of RFC 4648 base32.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -41,14 +45,32 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
-def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages(page_id, url, html)`` -> page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
+def headers(pages: DataFrame) -> DataFrame:
+    """``pages(page_id, html)`` -> page_id, payload_digest, payload_bytes."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    return pages.select("page_id", payload_digest(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+
+
+def revisits(heads: DataFrame, min_bytes: int = 0, broadcast_rows: int = 500_000) -> DataFrame:
+    """Of ``headers`` those that revisit another: page_id, payload_digest, refers_to, each once."""
+    sets = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    sets = written(sets.where("n > 1 AND refers_to IS NOT NULL").drop("n"), "originals")
+    sets = F.broadcast(sets) if sets.count() <= broadcast_rows else sets
+    again = ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    return heads.select("page_id", "payload_digest").join(sets, "payload_digest").where(again).distinct()
+
+
+def resolve_revisits(pages: DataFrame, heads: DataFrame, min_bytes: int = 0, broadcast_rows: int = 500_000) -> DataFrame:
+    """``pages(page_id, url, html)`` and their ``headers`` -> page_id, url, payload, payload_bytes, payload_digest,
+    record_type, refers_to."""
+    again = revisits(heads, min_bytes, broadcast_rows).select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), "refers_to")
+    again = written(again, "revisits")
+    again = F.broadcast(again) if again.count() <= broadcast_rows else again
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     own = own.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", payload_digest(F.col("payload").cast("binary")))
-    originals = own.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original"))
-    both = own.join(originals, "payload_digest", "left")
-    again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return both.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("original")).alias("refers_to"))
+    both = own.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("payload_digest") == F.col("again_digest")), "left")
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
+    return both.select("page_id", "url", "payload", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 def _record_id(page: Column) -> Column:
@@ -76,10 +98,20 @@ def records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFram
     return resolved.select(F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload")), F.lit(_CRLF)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_archive: int = 1024, compression: str = "gzip") -> None:
-    """Write the archives of ``pages`` under ``path``; each holds at most ``records_per_archive`` records."""
-    out = records(resolve_revisits(pages, min_bytes)).write.option("lineSep", _CRLF).option("compression", compression)
-    out.option("maxRecordsPerFile", records_per_archive).text(path)
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_archive: int = 1024, archive_bytes: int = 1 << 30, compression: str = "gzip") -> None:
+    """Write the archives of ``pages`` under ``path``; each holds at most ``records_per_archive`` records, and
+    payloads of ``archive_bytes`` in all, or a single larger one."""
+    heads = written(headers(pages), "headers")
+    resolved = resolve_revisits(pages, heads, min_bytes)
+    largest, least, most = heads.agg(F.max("payload_bytes")).first()[0] or 0, -1, records_per_archive
+    while least < largest or least < 0:
+        upto = archive_bytes // most
+        own = records(resolved.where((F.col("payload_bytes") > least) & (F.col("payload_bytes") <= upto) if most > 1 else F.col("payload_bytes") > least))
+        out = own.write.mode("append").option("lineSep", _CRLF).option("compression", compression).option("maxRecordsPerFile", most)
+        out.text(path)
+        if most == 1:
+            break
+        least, most = upto, max(1, most // 32)
 
 
 def _page(value: str) -> int | None:

@@ -68,6 +68,17 @@ def test_archives_round_trip(spark, tmp_path):
     assert texts[7] == b"same" and texts[6] == ("é\n" * 5000).encode()
 
 
+def test_larger_payloads_have_archives_of_fewer_records(spark, tmp_path):
+    pages = [(k, "u", "x" * (k * 13 % 400)) for k in range(200)]
+    df = spark.createDataFrame([(*r, 7, 8, 9) for r in pages], "page_id long, url string, html string, payload int, refers_to int, again_id int")
+    path = str(tmp_path / "w")
+    warc.write_archives(df, path, records_per_archive=64, archive_bytes=400, compression="none")
+    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == 200 and all(got[k].payload_bytes == len(h) for k, _, h in pages)
+    sizes = [(sum(len(r["payload"] or b"") for r in records), len(records)) for f in tmp_path.glob("w/part-*") if (records := list(warc.parse_archive(f.read_bytes())))]
+    assert max(n for _, n in sizes) <= 64 and all(b <= 400 or n == 1 for b, n in sizes)
+
+
 def test_small_payloads_and_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     warc.write_archives(df, str(tmp_path / "a"), min_bytes=3, compression="none")

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomtag.llm import decontaminate, language_id
@@ -140,6 +141,32 @@ def test_untrained_languages_and_random_letters_are_rejected():
     assert model.predict(clean)[2].mean() < 0.01
 
 
+def test_predictions_by_force(spark):
+    """Cosines of plain dictionaries of n-grams, over the model's own centroids and cells."""
+    rng = random.Random(7)
+    rows = [(i, said(rng, x, rng.randrange(4, 80)), x) for i, x in enumerate([*SAY] * 40)]
+    model = language_id.fit_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [t for _, t, _ in rows[:20]] + ["Le CHAT, 3 der!", "x"]
+    names, score, rejected = model.predict(texts)
+
+    for t, name, s in zip(texts, names, score, strict=True):
+        padded = "".join(c if c.isalpha() else " " for c in t.lower())
+        counts = np.zeros(1 << 12)
+        for w in padded.split():
+            x, _ = language_id.gram_counts([w], 1 << 12)
+            counts += x[0]
+        v = counts * model.idf
+        cos = model.centroids @ v / np.linalg.norm(v)
+        assert name == model.labels[model.owner[int(cos.argmax())]] and abs(s - cos.max()) < 1e-5
+
+
+def test_a_label_of_long_texts_only(spark):
+    rng = random.Random(9)
+    rows = [(i, said(rng, x, 9000 if x == "de" else 30), x) for i, x in enumerate([*SAY] * 8)]
+    model = language_id.fit_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == ["de", "en", "fr"] and model.predict([said(rng, "de", 40)])[0] == ["de"]
+
+
 def test_one_odd_text_lowers_no_floor():
     rng = random.Random(5)
     texts, labels = [said(rng, x, 60) for x in SAY for _ in range(200)], [x for x in SAY for _ in range(200)]
@@ -155,6 +182,11 @@ def test_languages_of_odd_tables(spark, odd, empty, clashing):
     assert out.columns == [*clashing.columns, "lang_pred", "score", "rejected"] and out.count() == odd.count()
     got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in out.collect() if r.doc_id is not None}
     assert got[3] == got[4] == got[5] == got[11] == ("und", 0.0, True) and not got[6][2]
+    again = language_id.identify(out.select("text", "score", "rejected"), model)
+    assert again.columns == ["text", "score", "rejected", "lang_pred", "score_", "rejected_"]
+    for none in (empty, odd.withColumn("lang", F.lit(None).cast("string"))):
+        nothing = language_id.fit_on(none)
+        assert {(r.lang_pred, r.score, r.rejected) for r in language_id.identify(odd, nothing).collect()} == {("und", 0.0, True)}
     assert language_id.identify(empty, model).count() == 0
     assert model.predict(["ж" * 50])[2][0]  # far from all
 
