@@ -19,12 +19,16 @@
    several components are compared in blocks: a task holds two blocks of full
    sets, counts all their intersections at once and returns a spanning forest
    of the links. Lists that still span several families give their pairs across
-   families, decided as in step 3; of those longer than ``long_list``, such as
-   a widespread passage makes, the members are listed anew under runs of up to
-   five values (four where five would miss too much: at 0.8), which linked sets
-   of up to k members share as surely, and larger ones but for four in a million
-   at 0.85 and one in a million at 0.8. So no link between components is lost, and
-   a large group of near copies never becomes rows for all its pairs.
+   families, decided as in step 3, as long as they are short.
+5. Of lists longer than ``long_list``, such as a widespread passage makes, the
+   members are listed anew, and without any miss: by the prefixes of their full
+   sets. In any one order of all values, two sets that reach t share a value among
+   the first n - ceil(t n) + 1 of each. The order is by hash, but values with long
+   lists come last, and those that then turn out to have long lists come last in
+   their turn, until no list is long or nothing but such values is left in a
+   prefix. Lists that are long even so are compared in blocks, as families are.
+   So no link between components is lost, and neither a large group of near copies
+   nor a widespread passage ever becomes rows for all its pairs.
 
 A document without words links with nothing, nor does one without doc_id;
 both are kept. Rows that repeat a doc_id share its component.
@@ -42,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, released, written
+from .common import components, released, slices, written
 from .shingles import shingler
 
 
@@ -95,19 +99,6 @@ def run_lengths(size: int, t: Fraction, most: int = 3) -> set[int]:
     return {shared_run(u, t, most) for u in range(size, math.floor(size / t) + 1)} - {0} if size < 1000 else {most}
 
 
-def missed(r: int, t: float, k: int) -> float:
-    """How likely no run of ``r`` shared values is among ``k`` that are each shared with probability t."""
-    state = [1.0] + [0.0] * (r - 1)  # by the length of the run so far
-    for _ in range(k):
-        state = [sum(state) * (1 - t)] + [x * t for x in state[:-1]]
-    return sum(state)
-
-
-def longest_run(t: float, k: int, most: int = 5, at_most: float = 5e-6) -> int:
-    """The longest run, up to ``most``, that is missed so rarely; three at least."""
-    return max([3, *(r for r in range(4, most + 1) if missed(r, t, k) <= at_most)])
-
-
 def _runs(sketch: Column, r: int) -> Column:
     def run(i: Column) -> Column:
         return F.xxhash64(F.lit(r), *[F.get(sketch, i + j) for j in range(r)])
@@ -192,6 +183,52 @@ def block_links(sets: list[np.ndarray], component: np.ndarray, t: Fraction, colu
     return label
 
 
+def prefix(values: np.ndarray, hot: np.ndarray, t: Fraction) -> np.ndarray:
+    """Of a set's sorted values those of which a set at similarity >= t shares one, if ``hot`` ones come last."""
+    n = len(values)
+    keep = n - math.ceil(t * n) + 1
+    if len(hot):
+        at = np.isin(values, hot, assume_unique=True)
+        values = np.concatenate([values[~at], values[at]])
+    return values[:keep]
+
+
+def _prefixes(full: DataFrame, hot: np.ndarray, t: Fraction) -> DataFrame:
+    """``full(rep, n, family, shingles)`` -> run, rep, n, family: a row for each value of each prefix."""
+    shared = full.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in slices(b, 3, 4 << 20)):
+            values = [prefix(np.frombuffer(x, np.uint64), shared.value, t).view(np.int64) for x in batch.column(3).to_pylist()]
+            row = np.repeat(np.arange(len(values)), [len(v) for v in values])
+            own = batch.select(range(3)).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), *own.columns], ["run", "rep", "n", "family"])
+
+    return full.select("rep", "n", "family", "shingles").mapInArrow(run, "run long, rep long, n long, family long")
+
+
+def _open(spread: DataFrame) -> DataFrame:
+    """Of postings (run, rep, n, family) those in lists that span several families, with the lists' lengths."""
+    lists = spread.groupBy("run").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("length")).where("x <> y")
+    return spread.join(lists.select("run", "length"), "run")
+
+
+def _prefix_lists(full: DataFrame, t: Fraction, long_list: int, hot_values: int = 1_000_000) -> DataFrame:
+    """The open lists of prefixes. Values go last, round by round, until those of all long lists do; no more than
+    ``hot_values`` of them, as each round they are broadcast."""
+    hot = np.empty(0, np.uint64)
+    while True:
+        lists = written(_open(_prefixes(full, hot, t)), "prefixes")
+        long_ = written(lists.where(F.col("length") > long_list).select("run").distinct(), "hot")
+        if len(hot) + long_.count() > hot_values:
+            return lists
+        found = np.array([r["run"] for r in long_.collect()], np.int64).view(np.uint64)  # at most ``hot_values``
+        more = np.union1d(hot, found)
+        if len(more) == len(hot):
+            return lists
+        hot = more
+
+
 def _within_families(members: DataFrame, sets: DataFrame, t: Fraction, block_shingles: int, block_docs: int) -> DataFrame:
     """Links between components of one family: ``members(rep, n, component, family)`` -> (a, b)."""
     several = members.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n").alias("all"), F.count("*").alias("docs"))
@@ -237,20 +274,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k:
     members = written(members.select("rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("family", "rep").alias("family")), "members")
     inside = _within_families(members, sets, t, block_shingles, block_docs)
 
-    def still_open(lists: DataFrame) -> DataFrame:
-        """Postings of lists that span several families, with their lengths."""
-        spread = lists.join(members.select("rep", "n", "family"), "rep")
-        open_ = spread.groupBy("run").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("length")).where("x <> y")
-        return spread.join(open_.select("run", "length"), "run")
-
-    spread = written(still_open(shared.select("run", "rep")), "open")
-    long_ = classes.join(spread.where(F.col("length") > long_list).select("rep").distinct(), "rep")
-    longer = still_open(_lists(long_, t, most=longest_run(float(t), k)).distinct())
-    spread = written(spread.where(F.col("length") <= long_list).unionByName(longer), "open")
-    side = lambda x: spread.select("run", F.col("rep").alias(x), F.col("family").alias(f"f_{x}"), F.col("n").alias(f"n_{x}"))
+    own = members.select("rep", "n", "family")
+    spread = written(_open(shared.select("run", "rep").join(own, "rep")), "open")
+    long_ = own.join(spread.where(F.col("length") > long_list).select("rep").distinct(), "rep")
+    full = written(long_.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "long")
+    again = _prefix_lists(full, t, long_list)
+    short = spread.unionByName(again).where(F.col("length") <= long_list)
+    side = lambda x: short.select("run", F.col("rep").alias(x), F.col("family").alias(f"f_{x}"), F.col("n").alias(f"n_{x}"))
     across = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (float(t) - 1e-9)))
     across = _estimated(across.select("a", "b").distinct(), classes, k, float(t), kin).where("possible")
     across = _linked(across.select("a", "b"), sets, t)
+    groups = again.where(F.col("length") > long_list).select("rep", "n", F.col("run").alias("family")).join(members.select("rep", "component"), "rep")
+    inside = inside.unionByName(_within_families(groups, sets, t, block_shingles, block_docs))
     more = written(inside.unionByName(across), "linked")
     if not more.isEmpty():
         joined = components(links.unionByName(more))

@@ -191,9 +191,28 @@ def test_shingles():
     assert len(s("a\u00a0b")) == 1 and not (s("a\u00a0b") == s("a b")).all()
 
 
-def test_longer_runs_are_missed_as_rarely_at_each_threshold():
-    from loomtag.llm.minhash_dedup import longest_run, missed
+def test_prefixes_of_any_order_share_a_value():
+    t, rng = Fraction("0.85"), random.Random(3)
+    for _ in range(2000):
+        u = rng.randrange(1, 80)
+        union = np.array(sorted(rng.sample(range(10_000), u)), np.uint64)
+        gone = set(rng.sample(range(u), rng.randrange(0, int((1 - t) * u) + 1)))
+        half = {x for x in gone if rng.random() < 0.5}
+        a, b = union[[x for x in range(u) if x not in half]], union[[x for x in range(u) if x not in gone - half]]
+        hot = np.array(sorted(rng.sample(union.tolist(), rng.randrange(0, u + 1))), np.uint64)
+        assert {*minhash_dedup.prefix(a, hot, t).tolist()} & {*minhash_dedup.prefix(b, hot, t).tolist()}
+
 
-    assert (longest_run(0.85, 64), longest_run(0.8, 64)) == (5, 4)
-    assert missed(5, 0.8, 64) > 1e-4 and all(missed(longest_run(t, 64), t, 64) < 5e-6 for t in (0.8, 0.85, 0.9))
-    assert abs(missed(2, 0.5, 3) - 5 / 8) < 1e-12
+def test_a_passage_in_texts_of_all_families(spark):
+    """One passage in every text, all its lists long, and links between texts that share little else."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(30)]
+    texts = {}
+    for k in range(120):
+        own = [word() for _ in range(rng.choice([2, 4, 20, 90]))]
+        for _ in range(rng.choice([1, 2])):
+            texts[len(texts)] = " ".join(own[: len(own) - k % 2] + passage + [word()])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(rows, 3, "0.85", long_list=3, block_docs=16, kin=0.9).collect()}
+    assert got == by_force(texts, 3, Fraction("0.85"))
