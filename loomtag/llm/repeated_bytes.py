@@ -9,8 +9,8 @@ told apart to that depth only, and only those that can repeat need sorting.
    windows have equal anchors at equal places. A run of windows with one anchor
    is a *unit*, and its anchor's q-gram is its bucket. A bucket with one unit
    is done: its windows repeat nowhere.
-2. *Equal units.* Units of a bucket with equal bytes are one bucket at full
-   depth already: all but the earliest repeat as they stand.
+2. *Equal units.* Units with equal bytes are one bucket at full depth already:
+   all but the earliest repeat as they stand.
 3. *Refinement.* Where distinct units share a bucket, their bytes meet. The
    pointer of a suffix starts as its q-gram's bucket; the pointer to depth 2q
    is made from its own and that of the suffix q later, those pointers are
@@ -18,14 +18,21 @@ told apart to that depth only, and only those that can repeat need sorting.
    sorts only suffixes whose bucket still has others in it. Of a final bucket
    the first by document and place stays, and the others repeat.
 
-Pointers are 64-bit hashes of what they stand for instead of ranks, so that
-tasks agree on them without a global sort. Buckets are dealt to ranges of the
-hash. A bucket of ``hot`` units or more never meets in one task: its units are
-dealt by the hash of their own bytes and its windows by their own pointers.
-
-Null text counts as empty. Texts shorter than ``depth`` stay as they are. A
-null doc_id takes no part: its text stays whole and lets others stay. Rows that
-repeat a document give its result each. doc_id is to name one text only.
+Pointers are hashes of what they stand for instead of ranks, so that tasks agree
+on them without a global sort; windows that share the last one are told apart by
+their bytes, or by 128 bits where the bytes do not meet. What is dealt is
+combined first: of what is equal within a few megabytes of text only the earliest
+goes on, and the others, known to repeat, never meet. So a passage that a third
+of all documents hold makes a row for each such part of the text. Buckets are
+dealt to ranges of the hash, whose number follows the bytes of all texts. A
+bucket of ``hot`` distinct units or more would still fill a task: it is refined
+where its units stand, by the same pointers, and its windows are dealt by their
+last ones.
+
+Null text counts as empty. Texts shorter than ``depth`` stay as they are, very
+long ones are read whole. A null doc_id takes no part: its text stays whole and
+lets others stay. Rows that repeat a document give its result each. doc_id is to
+name one text only. An empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -146,6 +153,23 @@ def _chunks(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[slice]:
             begin, done = e, upto[e - 1]
 
 
+def deepen(pointer: np.ndarray, have: int, depth: int) -> tuple[np.ndarray, int]:
+    """Pointers to twice their depth, or to ``depth``, from each one and that of the suffix behind what it covers."""
+    step = min(have, depth - have)
+    return _mixed(pointer[:-step] * _P + pointer[step:]), have + step
+
+
+def last_pointers(data: np.ndarray, depth: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pointers of every window at full depth, 128 bits: a second chain starts from bytes shifted by one."""
+    out = []
+    for x in (data, data + np.uint8(1)):
+        pointer, have = gram_hashes(x, q), q
+        while have < depth:
+            pointer, have = deepen(pointer, have, depth)
+        out.append(pointer)
+    return out[0], out[1]
+
+
 def refined(data: np.ndarray, windows: np.ndarray, docs: np.ndarray, at: np.ndarray, depth: int, q: int) -> np.ndarray:
     """Of the windows that start at ``windows`` of ``data`` and stand at (docs, at): whether each repeats
     one that stands earlier."""
@@ -158,27 +182,60 @@ def refined(data: np.ndarray, windows: np.ndarray, docs: np.ndarray, at: np.ndar
         alive = alive[order][np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         if have == depth or not len(alive):
             break
-        step = min(have, depth - have)
-        pointer = _mixed(pointer[:-step] * _P + pointer[step:])
-        have += step
+        pointer, have = deepen(pointer, have, depth)
     if len(alive):
         mine = pointer[windows[alive]]
         order = np.lexsort((at[alive], docs[alive], mine))
-        k = alive[order]
-        out[k] = _later(mine[order], docs[k], at[k])
+        k, mine = alive[order], mine[order]
+        start = np.concatenate([[True], mine[1:] != mine[:-1]])
+        first = k[np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))]
+        behind = np.arange(depth)
+        equal = np.concatenate([(data[windows[k[i : i + 8192], None] + behind] == data[windows[first[i : i + 8192], None] + behind]).all(1) for i in range(0, len(k), 8192)])
+        out[k] = equal & _later(mine, docs[k], at[k])
     return out
 
 
-def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int = 20_000, with_text: bool = True) -> DataFrame:
+def _combined(columns: tuple[np.ndarray, ...], keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (keys…, document, place) in order: the order, whether a row is the first of its keys, and
+    whether it stands later than that."""
+    *k, docs, at = columns
+    order = np.lexsort((at, docs, *k[:keys][::-1]))
+    new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in k[:keys]], axis=0)]) if len(order) else np.empty(0, bool)
+    return order, new, _later(np.cumsum(new), docs[order], at[order]) if len(order) else new
+
+
+def _runs(d: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Windows that repeat, as runs of neighbours: doc_id, at, size."""
+    order = np.lexsort((at, d))
+    d, at = d[order], at[order]
+    cut = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)]))[0] if len(d) else np.empty(0, np.int64)
+    return pa.table({"doc_id": d[cut], "at": at[cut], "size": np.diff(np.concatenate([cut, [len(d)]])).astype(np.int32)})
+
+
+def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int = 20_000, range_bytes: int = 16 << 20, with_text: bool = True) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept:
     the bytes that stay."""
-    spark = docs.sparkSession
-    n = 4 * shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
+    size = long_.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(shuffle_partitions(docs.sparkSession), size // range_bytes)
+    n = 4 * tasks
+    in_ranges = lambda df: df.repartition(tasks, "r").groupBy("r")
 
     def initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, size = [], [], 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            h, d = np.concatenate(held), np.concatenate(names)
+            order, new, _ = _combined((h, d, d), 1)
+            h, d = h[order], d[order]
+            count = np.diff(np.concatenate([np.nonzero(new)[0], [len(h)]])).astype(np.int32)
+            yield from _dealt(_ranges(h[new], n), {"hash": h[new], "doc": d[new], "count": count})
+            # units that share a bucket here are known to; a row each, for no range but any
+            more = np.repeat(count, count) > 1
+            more &= new | np.concatenate([[True], d[1:] != d[:-1]])
+            yield from _dealt(_ranges(_mixed(h[more] + d[more].view(np.uint64)), n) + n, {"hash": h[more], "doc": d[more], "count": np.zeros(int(more.sum()), np.int32)})
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for d, x in zip(ids, _arrays(batch.column(1)), strict=True):
@@ -187,113 +244,114 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
                 names.append(np.full(len(h), d, np.int64))
                 size += len(h)
                 if size > 200_000:
-                    h = np.concatenate(held)
-                    yield from _dealt(_ranges(h, n), {"hash": h, "doc": np.concatenate(names)})
+                    yield from dealt()
                     held, names, size = [], [], 0
         if held:
-            h = np.concatenate(held)
-            yield from _dealt(_ranges(h, n), {"hash": h, "doc": np.concatenate(names)})
+            yield from dealt()
 
     def repeated(t: pa.Table) -> pa.Table:
-        h, d = _joined(t, "hash", "<u8"), _joined(t, "doc", "<i8")
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        _, where, count = np.unique(h, return_inverse=True, return_counts=True)
-        many = count[where]
-        keep = (many > 1) & np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-        return pa.table({"doc_id": d[keep], "hash": h[keep].view(np.int64), "hot": many[keep] >= hot})
+        h, d, count = _joined(t, "hash", "<u8"), _joined(t, "doc", "<i8"), _joined(t, "count", "<i4")
+        if t["r"][0].as_py() < n:
+            order = np.argsort(h, kind="stable")
+            h, d, count = h[order], d[order], count[order]
+            start = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+            total = np.repeat(np.add.reduceat(count.astype(np.int64), start), np.diff(np.concatenate([start, [len(h)]])))
+            keep = (total > 1) & (count == 1)
+            h, d = h[keep], d[keep]
+        return pa.table({"doc_id": d, "hash": h.view(np.int64)})
 
-    first = long_.mapInArrow(lambda b: released(initial(b)), "r int, hash binary, doc binary").groupBy("r").applyInArrow(repeated, "doc_id long, hash long, hot boolean")
-    lists = first.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("hash"))).alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
+    first = in_ranges(long_.mapInArrow(lambda b: released(initial(b)), "r int, hash binary, doc binary, count binary")).applyInArrow(repeated, "doc_id long, hash long")
+    lists = first.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 1, 4 << 20)):
             parts = []
-            for d, x, some, most in zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), batch.column(2), batch.column(3), strict=True):
+            for d, x, some in zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), batch.column(2), strict=True):
                 h, at, size = units(x, depth, gram)
-                some, most = (np.sort(y.values.to_numpy().view(np.uint64)) for y in (some, most))
-                is_hot = np.isin(h, most) if len(most) else np.zeros(len(h), bool)
-                k = np.nonzero((np.isin(h, some) if len(some) else False) | is_hot)[0]
+                k = np.nonzero(np.isin(h, np.unique(some.values.to_numpy().view(np.uint64))))[0]
                 raw, ends = x.tobytes(), (at + size - 1 + depth)
                 key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(at[k].tolist(), ends[k].tolist(), strict=True)]), "<u8").reshape(-1, 2)
-                parts.append((h[k], key[:, 0], key[:, 1], np.full(len(k), d, np.int64), at[k].astype(np.int64), size[k].astype(np.int32), is_hot[k]))
-            h, k1, k2, d, at, size, is_hot = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield from _dealt(_ranges(np.where(is_hot, k1, h), n), {"hash": h, "k1": k1, "k2": k2, "doc": d, "at": at, "size": size, "hot": is_hot})
+                parts.append((key[:, 0], key[:, 1], np.full(len(k), d, np.int64), at[k].astype(np.int64), size[k].astype(np.int32), h[k]))
+            k1, k2, d, at, size, h = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order, new, again = _combined((k1, k2, d, at), 2)
+            k1, k2, d, at, size, h = (x[order] for x in (k1, k2, d, at, size, h))
+            kind = np.where(again, 0, 1).astype(np.int32)
+            r = np.where(again, _ranges(_mixed(k1 + d.view(np.uint64)), n) + n, _ranges(k1, n))
+            once = new | again  # a document that is there twice
+            yield from _dealt(r[once], {k: v[once] for k, v in {"hash": h, "k1": k1, "k2": k2, "doc": d, "at": at, "size": size, "kind": kind}.items()})
 
     def equal(t: pa.Table) -> pa.Table:
-        h, k1, k2, d, at, size, is_hot = (_joined(t, c, x) for c, x in (("hash", "<u8"), ("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("size", "<i4"), ("hot", "?")))
-        order = np.lexsort((at, d, k2, k1))
-        h, k1, k2, d, at, size, is_hot = (x[order] for x in (h, k1, k2, d, at, size, is_hot))
-        new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-        again = _later(np.cumsum(new), d, at)
-        only = np.unique(h[new & ~is_hot], return_counts=True)
-        meets = new & (is_hot | np.isin(h, only[0][only[1] > 1]))
-        keep = again | meets
-        kind = np.where(again, 0, np.where(is_hot, 2, 1))[keep].astype(np.int32)
+        h, k1, k2, d, at, size, kind = (_joined(t, c, x) for c, x in (("hash", "<u8"), ("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("size", "<i4"), ("kind", "<i4")))
+        if t["r"][0].as_py() < n:
+            order, new, again = _combined((k1, k2, d, at), 2)
+            h, d, at, size = (x[order] for x in (h, d, at, size))
+            keep = new | again
+            h, d, at, size, kind = h[keep], d[keep], at[keep], size[keep], np.where(again, 0, 1)[keep].astype(np.int32)
         release()
-        return pa.table({"doc_id": d[keep], "at": at[keep], "size": size[keep], "hash": h[keep].view(np.int64), "kind": kind})
+        return pa.table({"doc_id": d, "at": at, "size": size, "hash": h.view(np.int64), "kind": kind})
 
-    kinds = "doc_id long, at long, size int, hash long, kind int"
-    dealt = long_.join(lists, "doc_id").select("doc_id", "text", "hashes", "hot")
-    dealt = dealt.mapInArrow(lambda b: released(candidates(b)), "r int, hash binary, k1 binary, k2 binary, doc binary, at binary, size binary, hot binary")
-    second = written(dealt.groupBy("r").applyInArrow(equal, kinds), "repeats")
+    dealt = long_.join(lists, "doc_id").select("doc_id", "text", "hashes")
+    dealt = dealt.mapInArrow(lambda b: released(candidates(b)), "r int, hash binary, k1 binary, k2 binary, doc binary, at binary, size binary, kind binary")
+    second = written(in_ranges(dealt).applyInArrow(equal, "doc_id long, at long, size int, hash long, kind int"), "repeats")
+    distinct = second.where("kind = 1").drop("kind")
+    shared = distinct.groupBy("hash").agg(F.count("*").alias("units")).where("units > 1").select("hash", (F.col("units") >= hot).alias("hot"))
+    meets = distinct.join(shared, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", "hash", "hot")).alias("found"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 1, 4 << 20)):
             own: dict[str, list] = {k: [] for k in ("h", "d", "at", "size", "data")}
-            far: dict[str, list] = {k: [] for k in ("h", "d", "at")}
+            far: list[tuple[np.ndarray, ...]] = []
             for d, x, found in zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), batch.column(2), strict=True):
                 raw = x.tobytes()
-                f = {k: found.values.field(k).to_numpy() for k in ("at", "size", "hash", "kind")}
-                for at, size, h, kind in zip(*(f[k].tolist() for k in ("at", "size", "hash", "kind")), strict=True):
+                f = {k: found.values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "size", "hash", "hot")}
+                for at, size, h, is_hot in zip(*(f[k].tolist() for k in ("at", "size", "hash", "hot")), strict=True):
                     data = raw[at : at + size - 1 + depth]
-                    if kind == 1:
+                    if not is_hot:
                         for k, v in zip(own, (h, d, at, size, data), strict=True):
                             own[k].append(v)
                     else:
-                        p = _mixed(gram_hashes(np.frombuffer(data, np.uint8), depth))
-                        far["h"].append(p)
-                        far["d"].append(np.full(len(p), d, np.int64))
-                        far["at"].append(np.arange(at, at + len(p)))
+                        p1, p2 = last_pointers(np.frombuffer(data, np.uint8), depth, gram)
+                        far.append((p1, p2, np.full(len(p1), d, np.int64), np.arange(at, at + len(p1), dtype=np.int64)))
             if own["h"]:
                 h = np.array(own["h"], np.int64).view(np.uint64)
-                yield from _dealt(_ranges(h, n), {"hash": h, "doc": np.array(own["d"], np.int64), "at": np.array(own["at"], np.int64), "size": np.array(own["size"], np.int32)}, own["data"])
-            if far["h"]:
-                h, d, at = (np.concatenate(far[k]) for k in ("h", "d", "at"))
-                yield from _dealt(_ranges(h, n) + n, {"hash": h, "doc": d, "at": at.astype(np.int64), "size": np.ones(len(h), np.int32)}, [b""] * len(h))
+                k2 = np.zeros(len(h), np.uint64)
+                yield from _dealt(_ranges(h, n), {"hash": h, "k2": k2, "doc": np.array(own["d"], np.int64), "at": np.array(own["at"], np.int64), "size": np.array(own["size"], np.int32)}, own["data"])
+            if far:
+                p1, p2, d, at = (np.concatenate(c) for c in zip(*far, strict=True))
+                order, new, again = _combined((p1, p2, d, at), 2)
+                p1, p2, d, at = (x[order] for x in (p1, p2, d, at))
+                r = np.where(again, _ranges(_mixed(p1 + d.view(np.uint64)), n) + 2 * n, _ranges(p1, n) + n)
+                once = new | again
+                ones = np.ones(len(p1), np.int32)
+                yield from _dealt(r[once], {k: v[once] for k, v in {"hash": p1, "k2": p2, "doc": d, "at": at, "size": ones}.items()}, [b""] * int(once.sum()))
 
     def refine(t: pa.Table) -> pa.Table:
-        h, d, at, size = (_joined(t, c, x) for c, x in (("hash", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("size", "<i4")))
-        if t["r"][0].as_py() >= n:
-            order = np.lexsort((at, d, h))
-            d, at = d[order], at[order]
-            again = _later(h[order], d, at)
-        else:
-            raw = b"".join(t["data"].to_pylist())
-            order = np.argsort(h, kind="stable")
-            end = np.cumsum(size + depth - 1)
-            h, d, at, size, start, end = (x[order] for x in (h, d, at, size, end - (size + depth - 1), end))
-            parts = []
-            for k in _chunks(h, end - start, 1 << 20):  # whole buckets, about a megabyte of them at once
-                data = np.frombuffer(b"".join([raw[s:e] for s, e in zip(start[k].tolist(), end[k].tolist(), strict=True)]), np.uint8)
-                n_ = size[k]
-                begin = np.cumsum(n_ + depth - 1) - (n_ + depth - 1)
-                place = np.arange(n_.sum()) - np.repeat(np.cumsum(n_) - n_, n_)
-                own, where = np.repeat(d[k], n_), np.repeat(at[k], n_) + place
-                again = refined(data, np.repeat(begin, n_) + place, own, where, depth, gram)
-                parts.append((own[again], where[again]))
-            d, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            again = slice(None)
-        d, at = d[again], at[again]
-        order = np.lexsort((at, d))
-        d, at = d[order], at[order]
-        cut = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)]))[0] if len(d) else np.empty(0, np.int64)
+        h, k2, d, at, size = (_joined(t, c, x) for c, x in (("hash", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("size", "<i4")))
+        r = t["r"][0].as_py()
+        if r >= 2 * n:
+            return _runs(d, at)
+        if r >= n:
+            order, _, again = _combined((h, k2, d, at), 2)
+            return _runs(d[order][again], at[order][again])
+        raw = b"".join(t["data"].to_pylist())
+        order = np.argsort(h, kind="stable")
+        end = np.cumsum(size + depth - 1)
+        h, d, at, size, start, end = (x[order] for x in (h, d, at, size, end - (size + depth - 1), end))
+        parts = []
+        for k in _chunks(h, end - start, 1 << 20):  # whole buckets, about a megabyte of them at once
+            data = np.frombuffer(b"".join([raw[s:e] for s, e in zip(start[k].tolist(), end[k].tolist(), strict=True)]), np.uint8)
+            n_ = size[k]
+            begin = np.cumsum(n_ + depth - 1) - (n_ + depth - 1)
+            place = np.arange(n_.sum()) - np.repeat(np.cumsum(n_) - n_, n_)
+            own, where = np.repeat(d[k], n_), np.repeat(at[k], n_) + place
+            again = refined(data, np.repeat(begin, n_) + place, own, where, depth, gram)
+            parts.append((own[again], where[again]))
+        d, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         release()
-        return pa.table({"doc_id": d[cut], "at": at[cut], "size": np.diff(np.concatenate([cut, [len(d)]])).astype(np.int32)})
+        return _runs(d, at)
 
-    meets = second.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", "hash", "kind")).alias("found"))
-    near = long_.join(meets, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda b: released(contexts(b)), "r int, hash binary, doc binary, at binary, size binary, data binary")
-    third = near.groupBy("r").applyInArrow(refine, "doc_id long, at long, size int")
+    near = long_.join(meets, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda b: released(contexts(b)), "r int, hash binary, k2 binary, doc binary, at binary, size binary, data binary")
+    third = in_ranges(near).applyInArrow(refine, "doc_id long, at long, size int")
     gone = second.where("kind = 0").select("doc_id", "at", "size").unionByName(third).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("gone"))
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
