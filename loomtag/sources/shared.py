@@ -8,11 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder, on a local master only: on a cluster
+    executors would not see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomtag-"))
     return jsc.getCheckpointDir().get()
