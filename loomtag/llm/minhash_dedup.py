@@ -23,10 +23,10 @@
 5. Of lists longer than ``long_list``, such as a widespread passage makes, the
    members are listed anew, and without any miss: by the prefixes of their full
    sets. In any one order of all values, two sets that reach t share a value among
-   the first n - ceil(t n) + 1 of each. The order is by hash, but values with long
-   lists come last, and those that then turn out to have long lists come last in
-   their turn, until no list is long or nothing but such values is left in a
-   prefix. Lists that are long even so are compared in blocks, as families are.
+   the first n - ceil(t n) + 1 of each. The order is by hash, but what two members
+   of a long list, of different families, have in common comes last: it is what
+   makes the list long. Lists of prefixes that are long even so are compared in
+   blocks, as families are.
    So no link between components is lost, and neither a large group of near copies
    nor a widespread passage ever becomes rows for all its pairs.
 
@@ -213,20 +213,20 @@ def _open(spread: DataFrame) -> DataFrame:
     return spread.join(lists.select("run", "length"), "run")
 
 
-def _prefix_lists(full: DataFrame, t: Fraction, long_list: int, hot_values: int = 1_000_000) -> DataFrame:
-    """The open lists of prefixes. Values go last, round by round, until those of all long lists do; no more than
-    ``hot_values`` of them, as each round they are broadcast."""
-    hot = np.empty(0, np.uint64)
-    while True:
-        lists = written(_open(_prefixes(full, hot, t)), "prefixes")
-        long_ = written(lists.where(F.col("length") > long_list).select("run").distinct(), "hot")
-        if len(hot) + long_.count() > hot_values:
-            return lists
-        found = np.array([r["run"] for r in long_.collect()], np.int64).view(np.uint64)  # at most ``hot_values``
-        more = np.union1d(hot, found)
-        if len(more) == len(hot):
-            return lists
-        hot = more
+def _widespread(long_: DataFrame, full: DataFrame, most: int) -> np.ndarray:
+    """What the members of the first and the last family of each long list have in common, sorted; ``most`` values
+    at the most, as they are broadcast (any order of values is right, so the others may stay in theirs)."""
+    ends = long_.groupBy("run").agg(F.min(F.struct("family", "rep"))["rep"].alias("a"), F.max(F.struct("family", "rep"))["rep"].alias("b")).select("a", "b").distinct()
+    side = lambda x: full.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}"))
+    both = ends.join(side("a"), "a").join(side("b"), "b").select("set_a", "set_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64))], ["value"])
+
+    found = both.mapInArrow(run, "value long").distinct().limit(most).collect()
+    return np.sort(np.array([r["value"] for r in found], np.int64).view(np.uint64))
 
 
 def _within_families(members: DataFrame, sets: DataFrame, t: Fraction, block_shingles: int, block_docs: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _within_families(members: DataFrame, sets: DataFrame, t: Fraction, block_shi
     return dealt.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k: int = 64, kin: float = 0.3, long_list: int = 48, broadcast_rows: int = 500_000, block_shingles: int = 250_000, block_docs: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k: int = 64, kin: float = 0.3, long_list: int = 48, hot_values: int = 1_000_000, broadcast_rows: int = 500_000, block_shingles: int = 250_000, block_docs: int = 512) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept, a row for each row."""
     t = Fraction(threshold)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k:
     spread = written(_open(shared.select("run", "rep").join(own, "rep")), "open")
     long_ = own.join(spread.where(F.col("length") > long_list).select("rep").distinct(), "rep")
     full = written(long_.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "long")
-    again = _prefix_lists(full, t, long_list)
+    hot = _widespread(spread.where(F.col("length") > long_list), full, hot_values)
+    again = written(_open(_prefixes(full, hot, t)), "prefixes")
     short = spread.unionByName(again).where(F.col("length") <= long_list)
     side = lambda x: short.select("run", F.col("rep").alias(x), F.col("family").alias(f"f_{x}"), F.col("n").alias(f"n_{x}"))
     across = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (float(t) - 1e-9)))
