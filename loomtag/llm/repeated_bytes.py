@@ -107,6 +107,11 @@ def _ranges(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _any_range(docs: np.ndarray, n: int) -> np.ndarray:
+    """One of n ranges for all rows, by their first document."""
+    return np.full(len(docs), _ranges(_mixed(docs[:1].view(np.uint64)), n)[0] if len(docs) else 0)
+
+
 def _dealt(r: np.ndarray, columns: dict[str, np.ndarray], extra: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
     """One row for each range, with each column's values of that range as bytes."""
     if not len(r):
@@ -231,10 +236,10 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
             h, d = h[order], d[order]
             count = np.diff(np.concatenate([np.nonzero(new)[0], [len(h)]])).astype(np.int32)
             yield from _dealt(_ranges(h[new], n), {"hash": h[new], "doc": d[new], "count": count})
-            # units that share a bucket here are known to; a row each, for no range but any
+            # units that share a bucket here are known to: all in one row, for any range
             more = np.repeat(count, count) > 1
             more &= new | np.concatenate([[True], d[1:] != d[:-1]])
-            yield from _dealt(_ranges(_mixed(h[more] + d[more].view(np.uint64)), n) + n, {"hash": h[more], "doc": d[more], "count": np.zeros(int(more.sum()), np.int32)})
+            yield from _dealt(_any_range(d[more], n) + n, {"hash": h[more], "doc": d[more], "count": np.zeros(int(more.sum()), np.int32)})
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -276,7 +281,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
             order, new, again = _combined((k1, k2, d, at), 2)
             k1, k2, d, at, size, h = (x[order] for x in (k1, k2, d, at, size, h))
             kind = np.where(again, 0, 1).astype(np.int32)
-            r = np.where(again, _ranges(_mixed(k1 + d.view(np.uint64)), n) + n, _ranges(k1, n))
+            r = np.where(again, _any_range(d, n) + n, _ranges(k1, n))
             once = new | again  # a document that is there twice
             yield from _dealt(r[once], {k: v[once] for k, v in {"hash": h, "k1": k1, "k2": k2, "doc": d, "at": at, "size": size, "kind": kind}.items()})
 
@@ -320,7 +325,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, hot: int =
                 p1, p2, d, at = (np.concatenate(c) for c in zip(*far, strict=True))
                 order, new, again = _combined((p1, p2, d, at), 2)
                 p1, p2, d, at = (x[order] for x in (p1, p2, d, at))
-                r = np.where(again, _ranges(_mixed(p1 + d.view(np.uint64)), n) + 2 * n, _ranges(p1, n) + n)
+                r = np.where(again, _any_range(d, n) + 2 * n, _ranges(p1, n) + n)
                 once = new | again
                 ones = np.ones(len(p1), np.int32)
                 yield from _dealt(r[once], {k: v[once] for k, v in {"hash": p1, "k2": p2, "doc": d, "at": at, "size": ones}.items()}, [b""] * int(once.sum()))
