@@ -43,8 +43,16 @@ def valid_public_id(text: str) -> bool:
     return _PUBLIC.match(text) is not None
 
 
+def character(ref: str) -> str | None:
+    """Of ``x41`` or ``65`` the character; None if no document may hold it."""
+    code = int(ref[1:], 16) if ref[0] == "x" else int(ref)
+    fine = code in (9, 10, 13) or 32 <= code <= 0xD7FF or 0xE000 <= code <= 0xFFFD or 0x10000 <= code <= 0x10FFFF
+    return chr(code) if fine else None
+
+
 def expand_char_refs(text: str) -> str:
-    return _CHAR.sub(lambda m: chr(int(m[1][1:], 16) if m[1][0] == "x" else int(m[1])), text)
+    """References to characters that no document may hold stay."""
+    return _CHAR.sub(lambda m: m[0] if (c := character(m[1])) is None else c, text)
 
 
 @dataclass
@@ -453,14 +461,14 @@ def resolve_document(b: bytes, on_unknown: str = "keep") -> str:
             nonlocal markup
             r = m[1]
             if r[0] == "#":
-                return chr(int(r[2:], 16) if r[1] == "x" else int(r[1:]))
+                return m[0] if (c := character(r[1:])) is None else c
             if r in PREDEFINED and r not in model.entities:
                 return PREDEFINED[r]
             v = value(r)
             if v is None:
                 return m[0] if on_unknown == "keep" else ""
             markup |= "<" in v
-            return v if "<" in v else _REF.sub(lambda k: PREDEFINED.get(k[1]) or (chr(int(k[1][2:], 16) if k[1][1] == "x" else int(k[1][1:])) if k[1][0] == "#" else k[0]), v)
+            return v if "<" in v else _REF.sub(lambda k: PREDEFINED.get(k[1]) or (k[1][0] == "#" and character(k[1][1:])) or k[0], v)
 
         return _REF.sub(one, t), markup
 

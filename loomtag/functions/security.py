@@ -392,8 +392,9 @@ def verify_document(xml: str, key, detached: str | None = None) -> tuple[bool, s
         info = c14n.subtree(signature, at)
         algorithm = lambda local: name_of(next(_attr(e, "Algorithm") for e in info if e.kind == "start_element" and e.name.rpartition(":")[2] == local))
         outer = _stream(re.sub(r"\r\n?", "\n", detached)) if detached is not None else stream
-        r = -1
+        r, n = -1, 0
         while (r := _find(info, DS, "Reference", r + 1)) >= 0:
+            n += 1
             ref = c14n.subtree(info, r)
             part, how, data = _referenced(outer, _attr(ref[0], "URI") or ""), "c14n", None
             for e in ref:
@@ -412,6 +413,8 @@ def verify_document(xml: str, key, detached: str | None = None) -> tuple[bool, s
             stated = base64.b64decode(_text(c14n.subtree(ref, _find(ref, DS, "DigestValue"))))
             if not hmac.compare_digest(hashlib.new(hash_, data).digest(), stated):
                 return False, "digest_mismatch"
+        if not n:  # a signature of nothing says nothing of the document
+            return False, "no_reference"
         value = base64.b64decode(_text(c14n.subtree(signature, _find(signature, DS, "SignatureValue"))))
         signed = c14n.canonical_events(info, algorithm("CanonicalizationMethod")).encode()
         return (True, "valid") if verify(signed, value, key, algorithm("SignatureMethod")) else (False, "signature_mismatch")

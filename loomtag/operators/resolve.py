@@ -40,8 +40,10 @@ def resolve_text(text: Column, entities: Column | None = None, on_unknown: str =
         unknown = F.concat(F.lit("&"), r, F.lit(";")) if on_unknown == "keep" else F.lit("") if on_unknown == "remove" else F.lit(None).cast("string")
         return F.coalesce(value, unknown)
 
-    parts = F.transform(refs, lambda r, i: F.concat(F.get(rest, i), one(r)))
-    return F.when(~text.contains("&"), text).otherwise(F.concat(F.aggregate(parts, F.lit(""), lambda acc, x: F.concat(acc, x)), F.get(rest, F.size(refs))))
+    # what stands before each reference, beside it; the last stretch has none
+    parts = F.transform(F.arrays_zip(rest, refs), lambda z: F.concat(z["0"], F.when(z["1"].isNull(), F.lit("")).otherwise(one(z["1"]))))
+    whole = F.get(F.transform(F.array(parts), lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.array_join(p, ""))), 0)
+    return F.when(~text.contains("&"), text).otherwise(whole)
 
 
 def resolve_attrs(entities: Column | None = None, on_unknown: str = "keep") -> Column:

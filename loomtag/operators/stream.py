@@ -76,12 +76,16 @@ def filter_namespaces(events: DataFrame, names: Iterable[str], include: bool = T
     """Elements whose prefix (or with ``by='uri'`` namespace) is among ``names``, or isn't. Content goes with
     the element it stands in; what stands outside any element stays."""
     own = F.coalesce(F.col("prefix" if by == "prefix" else "ns_uri"), F.lit(""))
-    w = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    # the last start or end before says whose content this is
-    tag = F.when(is_("start_element", "end_element"), own)
-    owned = events.withColumn("__owner", F.last(tag, ignorenulls=True).over(w))
+    tag = is_("start_element", "end_element")
+    if by == "prefix":  # the path names the element that content stands in
+        name = F.try_element_at("path", F.lit(-1))
+        owner = F.when(name.contains(":"), F.substring_index(name, ":", 1)).otherwise("")
+        owned = events.withColumn("__owner", F.when(tag, own).otherwise(owner))
+    else:
+        start = F.max(F.when(is_("start_element"), own)).over(Window.partitionBy("doc_id", "elem_id"))
+        owned = events.withColumn("__owner", F.when(tag, own).otherwise(start))
     hit = F.col("__owner").isin(*names) if include else ~F.col("__owner").isin(*names)
-    free = is_(*MARKERS, "error") | (F.col("depth") == 0) & ~is_("start_element", "end_element")
+    free = is_(*MARKERS, "error") | (F.col("depth") == 0) & ~tag
     return owned.where(free | hit).drop("__owner")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tree import Halt, Handler, one
@@ -17,23 +17,28 @@ def nodes(events: DataFrame, include_comments: bool = False, keep_space: bool =
     """(doc_id, node_id, parent_id, pre, post, depth, kind, name, local, prefix, ns_uri, attrs, content). Elements
     take up ``pre``..``post`` in the order of events; leaves have both equal."""
     kinds = ["characters", "cdata", "processing_instruction", *(["comment"] if include_comments else []), *(["space"] if keep_space else [])]
-    ends = events.where(is_("end_element") & F.col("elem_id").isNotNull()).select("doc_id", F.col("elem_id").alias("node_id"), F.col("seq").alias("post"))
-    last = events.groupBy("doc_id").agg(F.max("seq").alias("last"))
-    starts = events.where(is_("start_element")).select("doc_id", F.col("elem_id").alias("node_id"), "parent_id", F.col("seq").alias("pre"), "depth", F.lit("element").alias("kind"), "name", "local", "prefix", "ns_uri", "attrs", F.lit(None).cast("string").alias("content"))
-    elements = starts.join(ends, ["doc_id", "node_id"], "left").join(last, "doc_id")
-    elements = elements.select(*starts.columns, F.coalesce("post", "last").alias("post"))
-    inside = events.where(is_(*kinds) & (F.col("depth") > 0))
-    leaves = inside.select("doc_id", F.col("seq").alias("node_id"), F.col("elem_id").alias("parent_id"), F.col("seq").alias("pre"), (F.col("depth") + 1).alias("depth"), F.col("event_type").alias("kind"), "name", F.lit(None).cast("string").alias("local"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("ns_uri"), "attrs", "content", F.col("seq").alias("post"))
-    return elements.unionByName(leaves)
+    whole = events.repartition("doc_id")  # one exchange, one parse
+    post = F.max(F.when(is_("end_element"), F.col("seq"))).over(Window.partitionBy("doc_id", "elem_id"))
+    last = F.max("seq").over(Window.partitionBy("doc_id"))
+    marked = whole.withColumns({"post": post, "last": last})
+    element = is_("start_element")
+    rows = marked.where(element | is_(*kinds) & (F.col("depth") > 0))
+    own = lambda c: F.when(element, F.col(c)).alias(c)
+    return rows.select(
+        "doc_id", F.when(element, F.col("elem_id")).otherwise(F.col("seq")).alias("node_id"), F.when(element, F.col("parent_id")).otherwise(F.col("elem_id")).alias("parent_id"), F.col("seq").alias("pre"),
+        F.when(element, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"), F.when(element, "element").otherwise(F.col("event_type")).alias("kind"), "name", own("local"), own("prefix"), own("ns_uri"), "attrs",
+        F.when(~element, F.col("content")).alias("content"), F.when(element, F.coalesce("post", "last")).otherwise(F.col("seq")).alias("post"),
+    )
 
 
 def to_events(tree: DataFrame) -> DataFrame:
     """Nodes as events again, in document order."""
     element = F.col("kind") == "element"
-    start = tree.where(element).select("doc_id", F.col("pre").alias("seq"), F.lit("start_element").alias("event_type"), "name", "attrs", "content", "depth", F.col("node_id").alias("elem_id"), "parent_id")
-    end = tree.where(element).select("doc_id", F.col("post").alias("seq"), F.lit("end_element").alias("event_type"), "name", F.lit(None).cast(tree.schema["attrs"].dataType).alias("attrs"), "content", "depth", F.col("node_id").alias("elem_id"), "parent_id")
-    leaf = tree.where(~element).select("doc_id", F.col("pre").alias("seq"), F.col("kind").alias("event_type"), "name", "attrs", "content", (F.col("depth") - 1).alias("depth"), F.col("parent_id").alias("elem_id"), "parent_id")
-    return start.unionByName(end).unionByName(leaf)
+    none = F.lit(None).cast(tree.schema["attrs"].dataType)
+    event = lambda seq, kind, attrs: F.struct(seq.alias("seq"), kind.alias("event_type"), attrs.alias("attrs"))
+    both = F.array(event(F.col("pre"), F.lit("start_element"), F.col("attrs")), event(F.col("post"), F.lit("end_element"), none))
+    rows = tree.withColumn("x", F.explode(F.when(element, both).otherwise(F.array(event(F.col("pre"), F.col("kind"), F.col("attrs"))))))
+    return rows.select("doc_id", "x.seq", "x.event_type", "name", "x.attrs", "content", F.when(element, F.col("depth")).otherwise(F.col("depth") - 1).alias("depth"), F.when(element, F.col("node_id")).otherwise(F.col("parent_id")).alias("elem_id"), "parent_id")
 
 
 def elements_by_tag_name(tree: DataFrame, local: str) -> DataFrame:
@@ -54,9 +59,10 @@ def child_counts(tree: DataFrame) -> DataFrame:
 
 
 def descendants(tree: DataFrame, local: str) -> DataFrame:
-    """Elements below elements of a name: a join on the document with the interval as its rest."""
-    above = elements_by_tag_name(tree, local).select("doc_id", F.col("node_id").alias("above_id"), F.col("pre").alias("lo"), F.col("post").alias("hi"))
-    return tree.where("kind = 'element'").join(above, "doc_id").where("pre > lo AND post < hi").drop("lo", "hi")
+    """Elements below elements of a name: a join on the document with the interval as its rest. What is never
+    closed ends with its document."""
+    above = elements_by_tag_name(tree, local).select("doc_id", F.col("node_id").alias("above_id"), F.col("pre").alias("lo"), F.col("post").alias("hi"), F.col("depth").alias("level"))
+    return tree.where("kind = 'element'").join(above, "doc_id").where("pre > lo AND pre <= hi AND depth > level").drop("lo", "hi", "level")
 
 
 def text_content(events: DataFrame, name: str) -> DataFrame:
@@ -74,8 +80,6 @@ def text_content(events: DataFrame, name: str) -> DataFrame:
 def records(events: DataFrame, name: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """One row for each element of a name. A field is (``@attribute`` or child element, Spark type). The record an
     event belongs to is the last start of that name before it, so one exchange by document is all it takes."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     owned = events.where(F.array_contains("path", name)).withColumn("record", F.max(F.when(is_("start_element") & (F.col("name") == name), F.col("seq"))).over(w))
     aggs = []

@@ -7,6 +7,8 @@ row and most rules are plain expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,62 +21,117 @@ _COLUMNS = ("doc_id", "seq", "source", "type", "detail")
 PREDEFINED = ("amp", "lt", "gt", "quot", "apos")
 
 
-def _rows(events: DataFrame, source: str, test: Column, kind: str | Column, detail: Column | None = None) -> DataFrame:
+_FOUND = "array<struct<source:string,type:string,detail:string>>"
+
+
+def _none() -> Column:
+    return F.array().cast(_FOUND)
+
+
+def _where(source: str, test: Column, kind: str | Column, detail: Column | None = None) -> Column:
+    """The finding of an event that passes ``test``, or none."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return events.where(test).select("doc_id", "seq", F.lit(source).alias("source"), kind.alias("type"), (detail if detail is not None else F.col("name")).cast("string").alias("detail"))
+    one = F.struct(F.lit(source).alias("source"), kind.alias("type"), (detail if detail is not None else F.col("name")).cast("string").alias("detail"))
+    return F.coalesce(F.when(test, F.array(one)), _none())
 
 
-def _each(events: DataFrame, source: str, found: Column) -> DataFrame:
+def _each(source: str, found: Column, test: Column | None = None) -> Column:
     """``found``: an array of (type, detail) for each event."""
-    return events.select("doc_id", "seq", F.lit(source).alias("source"), F.inline(found)).select(*_COLUMNS)
+    out = F.transform(found, lambda x: F.struct(F.lit(source).alias("source"), x["type"].alias("type"), x["detail"].alias("detail")))
+    return F.coalesce(out if test is None else F.when(test, out), _none())
+
+
+def _closed() -> Column:
+    return F.max(F.when(is_("end_element"), 1).otherwise(0)).over(Window.partitionBy("doc_id", "elem_id"))
+
+
+def _root() -> Column:
+    return is_("start_element") & (F.col("depth") == 1)
+
 
+#: What rules read of a document's other events, each by one window.
+_NEIGHBOURS = {
+    "__closed": _closed,
+    "__n": lambda: F.sum(F.when(_root(), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)),
+    "__all": lambda: F.count_if(_root()).over(Window.partitionBy("doc_id")),
+}
 
-def well_formed(events: DataFrame) -> DataFrame:
-    """End tags that don't match or that nothing is open for, and elements never closed (at the document's end)."""
-    w = Window.partitionBy("doc_id", "elem_id")
-    closed = F.max(F.when(is_("end_element"), 1).otherwise(0)).over(w)
+
+def rule(*neighbours: str):
+    """Make a validator of a function that gives each event's findings as an array column: events -> error rows.
+    Several of them share one pass over the events, and one exchange by document."""
+
+    def wrap(findings: Callable[..., Column]) -> Callable[..., DataFrame]:
+        def validator(events: DataFrame) -> DataFrame:
+            return _pass(events, [validator])
+
+        validator.findings, validator.neighbours = findings, neighbours
+        validator.__name__, validator.__doc__ = findings.__name__, findings.__doc__
+        return validator
+
+    return wrap
+
+
+def _pass(events: DataFrame, validators: list) -> DataFrame:
+    if needs := {n for v in validators for n in v.neighbours}:
+        events = events.repartition("doc_id").withColumns({n: _NEIGHBOURS[n]() for n in _NEIGHBOURS if n in needs})
+    found = F.concat(*[v.findings() for v in validators])
+    return events.select("doc_id", "seq", F.inline(found)).select(*_COLUMNS)
+
+
+@rule("__closed")
+def well_formed() -> Column:
+    """End tags that don't match or that nothing is open for, and elements never closed (at their start)."""
     stray = is_("end_element") & F.col("elem_id").isNull()
-    tags = events.where(is_("start_element", "end_element")).select("doc_id", "seq", "event_type", "name", "depth", "elem_id", closed.alias("closed"))
-    kind = F.when(F.col("event_type") == "start_element", "unclosed_tag").when(F.col("depth") == 0, "unexpected_close").otherwise("tag_mismatch")
-    return _rows(tags, "structure", stray | is_("start_element") & (F.col("closed") == 0), kind)
+    kind = F.when(is_("start_element"), "unclosed_tag").when(F.col("depth") == 0, "unexpected_close").otherwise("tag_mismatch")
+    return _where("structure", stray | is_("start_element") & (F.col("__closed") == 0), kind)
 
 
-def attributes(events: DataFrame) -> DataFrame:
+@rule()
+def attributes() -> Column:
     names = F.transform("attrs", lambda a: a["name"])
-    return _rows(events, "attributes", is_("start_element") & (F.size(names) > F.size(F.array_distinct(names))), "duplicate_attr")
+    return _where("attributes", is_("start_element") & (F.size(names) > F.size(F.array_distinct(names))), "duplicate_attr")
 
 
-def attribute_values(events: DataFrame) -> DataFrame:
-    return _rows(events, "attribute_values", is_("start_element") & F.exists("attrs", lambda a: a["value"].contains("<")), "attr_lt")
+@rule()
+def attribute_values() -> Column:
+    return _where("attribute_values", is_("start_element") & F.exists("attrs", lambda a: a["value"].contains("<")), "attr_lt")
 
 
-def namespaces(events: DataFrame) -> DataFrame:
+@rule()
+def namespaces() -> Column:
     """Prefixes of elements and attributes that nothing declares."""
     loose = lambda p, u: (p != "") & ~p.isin("xml", "xmlns") & u.isNull()
     own = F.when(loose(F.col("prefix"), F.col("ns_uri")), F.array(F.col("prefix"))).otherwise(F.array().cast("array<string>"))
     theirs = F.transform(F.filter("attrs", lambda a: loose(a["prefix"], a["ns_uri"])), lambda a: a["prefix"])
     found = F.transform(F.array_distinct(F.concat(own, theirs)), lambda p: F.struct(F.lit("undeclared_namespace").alias("type"), p.alias("detail")))
-    return _each(events.where(is_("start_element")), "namespaces", found)
+    return _each("namespaces", found, is_("start_element"))
 
 
-def comments(events: DataFrame) -> DataFrame:
-    return _rows(events, "comments", is_("comment") & (F.col("content").contains("--") | F.col("content").endswith("-")), "comment", F.col("content"))
+@rule()
+def comments() -> Column:
+    return _where("comments", is_("comment") & (F.col("content").contains("--") | F.col("content").endswith("-")), "comment", F.col("content"))
 
 
-def processing_instructions(events: DataFrame) -> DataFrame:
-    return _rows(events, "processing_instructions", is_("processing_instruction") & ((F.lower("name") == "xml") | (F.col("name") == "")), "reserved_pi_target")
+@rule()
+def processing_instructions() -> Column:
+    return _where("processing_instructions", is_("processing_instruction") & ((F.lower("name") == "xml") | (F.col("name") == "")), "reserved_pi_target")
 
 
-def root_boundary(events: DataFrame) -> DataFrame:
+@rule("__n", "__all")
+def root_boundary() -> Column:
     """Second roots, text or CDATA outside the root, and documents without one."""
-    root = is_("start_element") & (F.col("depth") == 1)
-    number = F.sum(F.when(root, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    all_ = F.count_if(root).over(Window.partitionBy("doc_id"))
-    marked = events.withColumn("__n", number).withColumn("__all", all_)
     text = (is_("characters") & ~F.col("content").rlike(r"\A\s*\z") | is_("cdata")) & (F.col("depth") == 0)
-    test = root & (F.col("__n") > 1) | text | is_("end_document") & (F.col("__all") == 0)
-    kind = F.when(root, "multiple_roots").when(text, "text_outside_root").otherwise("no_root")
-    return _rows(marked, "root_boundary", test, kind)
+    test = _root() & (F.col("__n") > 1) | text | is_("end_document") & (F.col("__all") == 0)
+    kind = F.when(_root(), "multiple_roots").when(text, "text_outside_root").otherwise("no_root")
+    return _where("root_boundary", test, kind)
+
+
+@rule()
+def parser_errors() -> Column:
+    """The tokenizer's own errors."""
+    own = F.struct("error.source", "error.type", F.col("error.message").alias("detail"))
+    return F.coalesce(F.when(is_("error"), F.array(own)), _none())
 
 
 def entity_references(events: DataFrame, known: Column | None = None, unparsed: Column | None = None, external: Column | None = None) -> DataFrame:
@@ -92,7 +149,7 @@ def entity_references(events: DataFrame, known: Column | None = None, unparsed:
         F.transform(F.filter(F.concat(inside, values), lambda x: F.array_contains(unparsed, x)), kind("unparsed_entity")),
         F.transform(F.filter(values, lambda x: F.array_contains(external, x)), kind("external_entity_in_attribute")),
     )
-    return _each(events, "entity_references", found)
+    return events.select("doc_id", "seq", F.inline(_each("entity_references", found))).select(*_COLUMNS)
 
 
 def entity_references_declared(events: DataFrame, entities: DataFrame) -> DataFrame:
@@ -103,7 +160,8 @@ def entity_references_declared(events: DataFrame, entities: DataFrame) -> DataFr
     return entity_references(events.join(sets, "doc_id"), F.col("__in"), F.col("__un"), F.col("__ex"))
 
 
-def xml_declaration(events: DataFrame) -> DataFrame:
+@rule()
+def xml_declaration() -> Column:
     names = F.transform("attrs", lambda a: a["name"])
     of = lambda n: F.get(F.filter("attrs", lambda a: a["name"] == n), 0)["value"]
     at = lambda n: F.array_position(names, n)
@@ -118,10 +176,11 @@ def xml_declaration(events: DataFrame) -> DataFrame:
         (~of("standalone").isin("yes", "no"), "invalid_standalone"),
     ]
     found = F.filter(F.array(*[F.when(t, F.lit(k)) for t, k in rules]), lambda x: x.isNotNull())
-    return _each(events.where(is_("prolog")), "xml_declaration", F.transform(found, lambda k: F.struct(k.alias("type"), F.lit(None).cast("string").alias("detail"))))
+    return _each("xml_declaration", F.transform(found, lambda k: F.struct(k.alias("type"), F.lit(None).cast("string").alias("detail"))), is_("prolog"))
 
 
-def character_references(events: DataFrame) -> DataFrame:
+@rule()
+def character_references() -> Column:
     """References that are empty, malformed, or name a character that may not occur."""
     none = F.array().cast("array<string>")
     refs = lambda t: F.regexp_extract_all(t, F.lit("&#([^;&<\\s]*;?)"), F.lit(1))
@@ -136,10 +195,11 @@ def character_references(events: DataFrame) -> DataFrame:
         kind = F.when(body.isin("", "x"), "empty_char_ref").when(~hex_ & ~dec, "malformed_char_ref").when(~r.endswith(";"), "unterminated_char_ref").when(code == 0, "null_char_ref").when(bad, "invalid_char_ref")
         return F.struct(kind.alias("type"), body.alias("detail"))
 
-    return _each(events, "character_references", F.filter(F.transform(all_, wrong), lambda x: x["type"].isNotNull()))
+    return _each("character_references", F.filter(F.transform(all_, wrong), lambda x: x["type"].isNotNull()))
 
 
-def namespace_rules(events: DataFrame) -> DataFrame:
+@rule()
+def namespace_rules() -> Column:
     """The rules of Namespaces in XML: names, prefixes, reserved bindings, attributes equal when expanded."""
     one = lambda k, d: F.struct(F.lit(k).alias("type"), d.cast("string").alias("detail"))
     none = F.array().cast("array<struct<type:string,detail:string>>")
@@ -173,21 +233,25 @@ def namespace_rules(events: DataFrame) -> DataFrame:
         some(start & (F.size(full) > F.size(F.array_distinct(full))), one("duplicate_attribute", name)),
         some(is_("processing_instruction") & name.contains(":"), one("colon_in_pi_target", name)),
     )
-    return _each(events.where(is_("start_element", "processing_instruction")), "namespace_rules", found)
+    return _each("namespace_rules", found, is_("start_element", "processing_instruction"))
 
 
 def all_of(events: DataFrame, *validators) -> DataFrame:
-    """The errors of several validators; by default structure, attributes and namespaces."""
-    out = None
-    for v in validators or (well_formed, attributes, namespaces):
-        out = v(events) if out is None else out.unionByName(v(events))
+    """The errors of several validators; by default structure, attributes and namespaces. Those of this module
+    share one pass."""
+    validators = validators or (well_formed, attributes, namespaces)
+    rules = [v for v in validators if hasattr(v, "findings")]
+    out = _pass(events, rules) if rules else None
+    for v in validators:
+        if v not in rules:
+            out = v(events) if out is None else out.unionByName(v(events))
     return out
 
 
 def compliant(events: DataFrame, entities: DataFrame | None = None) -> DataFrame:
-    """All that a conforming reader reports, the tokenizer's own errors among them."""
-    own = events.where(is_("error")).select("doc_id", "seq", "error.source", "error.type", F.col("error.message").alias("detail"))
-    found = all_of(events, xml_declaration, well_formed, root_boundary, attributes, comments, processing_instructions, namespaces).unionByName(own)
+    """All that a conforming reader reports, the tokenizer's own errors among them. With ``entities(doc_id, name,
+    kind)``, what documents declare, references are held against these."""
+    found = all_of(events, xml_declaration, well_formed, root_boundary, attributes, comments, processing_instructions, namespaces, parser_errors)
     return found if entities is None else found.unionByName(entity_references_declared(events, entities))
 
 
