@@ -86,18 +86,27 @@ def majority(n: Column, q: int) -> Column:
     return ((F.lit((1 << (q - 2)) - 1) - F.floor(n / 2)) * F.lit(ones)).cast("long")
 
 
-def simhash(packed: list[Column], q: int, start: Column, n: Column, enough: Column) -> Column:
-    """Of the ``n`` shingles from ``start`` on: bit b is set if more of them have it set than not.
-    ``enough`` is their ``majority``."""
+def simhash(votes: list[Column], q: int, enough: Column) -> Column:
+    """Bit b is set if more shingles have it set than not: ``votes`` is the sum of their lanes, ``enough`` the
+    ``majority`` of their number."""
     top, out = sum(1 << i for i in range(q - 2, 64, q)), None
-    for k, lane in enumerate(packed):
-        votes = F.aggregate(F.slice(lane, start + 1, n), F.lit(0).cast("long"), lambda acc, x: acc + x)
-        bits = F.call_function("shiftrightunsigned", (votes + enough).bitwiseAND(F.lit(top)), F.lit(q - 2))
+    for k, v in enumerate(votes):
+        bits = F.call_function("shiftrightunsigned", (v + enough).bitwiseAND(F.lit(top)), F.lit(q - 2))
         bits = F.call_function("shiftleft", bits, F.lit(k))
         out = bits if out is None else out.bitwiseOR(bits)
     return out
 
 
+def total(lane: Column) -> Column:
+    return F.aggregate(lane, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def doubled(sums: Column, step: int) -> Column:
+    """Of each lane's sums over ``step`` shingles those over twice as many, from every place that has so many."""
+    pair = lambda lane: F.transform(F.slice(lane, F.lit(1), F.greatest(F.size(lane) - step, F.lit(0))), lambda x, i: x + F.get(lane, i + step))
+    return F.transform(sums, pair)
+
+
 def _blocks(fingerprint: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.struct(b.alias("block"), F.call_function("shiftrightunsigned", fingerprint, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("value")))
 
@@ -123,15 +132,26 @@ def most_similar(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def windows(texts: DataFrame, q: int, width: int) -> DataFrame:
+def windows(texts: DataFrame, q: int, width: int, most: int) -> DataFrame:
     """``texts(text_key, w, n_words)`` -> text_key, n_words, window_start and the print of every window of so
-    many words. A text's hashes and lanes are made once, below the generator that slides over them."""
+    many words, of ``most`` shingles at the most. Sums over 1, 2, 4 … shingles are made once for a text; a
+    window's votes are those of the powers of two that its size is made of."""
     gram = F.least(F.col("n_words"), F.lit(width))
     own = texts.where(F.size("w") >= gram).select("text_key", "n_words", F.size("w").alias("size"), _hashes(F.col("w"), width, gram).alias("h"))
     held = F.least("size", "n_words") - gram + 1
-    own = own.select("text_key", "n_words", held.alias("held"), majority(held, q).alias("enough"), F.greatest(F.col("size") - F.col("n_words"), F.lit(0)).alias("last"), F.array(*lanes(F.col("h"), q)).alias("lanes"))
-    packed = [F.get("lanes", k) for k in range(q)]
-    each = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.struct(i.alias("window_start"), simhash(packed, q, i, F.col("held"), F.col("enough")).alias("print")))
+    own = own.select("text_key", "n_words", held.alias("held"), majority(held, q).alias("enough"), F.greatest(F.col("size") - F.col("n_words"), F.lit(0)).alias("last"), F.array(*lanes(F.col("h"), q)).alias("s0"))
+    levels = most.bit_length()
+    for j in range(1, levels):
+        own = own.withColumn(f"s{j}", doubled(F.col(f"s{j - 1}"), 1 << (j - 1)))
+    part = lambda j: F.when(F.col("held").bitwiseAND(F.lit(1 << j)) != 0, F.struct(F.col("held").bitwiseAND(F.lit((1 << j) - 1)).alias("at"), F.col(f"s{j}").alias("sums")))
+    parts = F.filter(F.array(*[part(j) for j in range(levels)]), lambda x: x.isNotNull())
+    own = own.select("text_key", "n_words", "enough", "last", parts.alias("parts"))
+
+    def at(i: Column) -> Column:
+        votes = [F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + F.get(F.get(p["sums"], k), i + p["at"])) for k in range(q)]  # noqa: B023
+        return F.struct(i.alias("window_start"), simhash(votes, q, F.col("enough")).alias("print"))
+
+    each = F.transform(F.sequence(F.lit(0), F.col("last")), at)
     return own.select("text_key", "n_words", F.explode_outer(each).alias("x")).select("text_key", "n_words", "x.window_start", "x.print")
 
 
@@ -159,11 +179,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold:
     # the index: items of the window's size under every block value near their own
     near = F.explode(F.array(*[F.lit(m) for m in _masks(radius // BLOCKS)]))
     own = items.select("item_id", "n_words", F.size("h").alias("n"), F.array(*lanes(F.col("h"), q)).alias("lanes"))
-    listed = own.select("item_id", "n_words", simhash([F.get("lanes", k) for k in range(q)], q, F.lit(0), F.col("n"), majority(F.col("n"), q)).alias("item_print")).distinct()
+    listed = own.select("item_id", "n_words", simhash([total(F.get("lanes", k)) for k in range(q)], q, majority(F.col("n"), q)).alias("item_print")).distinct()
     listed = listed.select("item_id", "n_words", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
     listed = listed.select("item_id", "n_words", "item_print", "b.block", "b.value", near.alias("mask"))
     index = listed.select("item_id", "n_words", "item_print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    prints = windows(held, q, width)
+    prints = windows(held, q, width, most)
     keyed = prints.select("text_key", "n_words", "window_start", "print", F.explode(_blocks(F.col("print"))).alias("b")).select("text_key", "n_words", "window_start", "print", "b.block", "b.value")
     found = keyed.join(fits(index, n_items * per_item), ["n_words", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     found = written(found.select("text_key", "n_words", "window_start", "item_id").distinct(), "candidates")

@@ -56,7 +56,7 @@ def test_prints_by_force(spark):
     for n_words, most in ((20, 126), (20, 127), (140, 136), (20, 40_000)):
         w = [f"w{rng.randrange(50)}" for _ in range(160)]
         texts = spark.createDataFrame([(1, n_words, w)], "text_key long, n_words int, w array<string>")
-        got = {r.window_start: r.print for r in decontaminate.windows(texts, decontaminate.lane_bits(most), 5).collect()}
+        got = {r.window_start: r.print for r in decontaminate.windows(texts, decontaminate.lane_bits(most), 5, most).collect()}
         h = texts.select(decontaminate._hashes(texts.w, 5)).first()[0]
         assert got.keys() == {*range(160 - n_words + 1)}
         for s, x in got.items():
