@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", k:
     long_ = own.join(spread.where(F.col("length") > long_list).select("rep").distinct(), "rep")
     full = written(long_.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "long")
     hot = _widespread(spread.where(F.col("length") > long_list), full, hot_values)
-    again = written(_open(_prefixes(full, hot, t)), "prefixes")
+    again = written(_open(written(_prefixes(full, hot, t), "prefixes")), "open")
     short = spread.unionByName(again).where(F.col("length") <= long_list)
     side = lambda x: short.select("run", F.col("rep").alias(x), F.col("family").alias(f"f_{x}"), F.col("n").alias(f"n_{x}"))
     across = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (float(t) - 1e-9)))
