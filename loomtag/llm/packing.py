@@ -102,7 +102,7 @@ class WordEncoder:
     Arrow takes for white space and the library doesn't, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 350_000):
         import json
         import os
 
@@ -176,7 +176,7 @@ class WordEncoder:
         return [self._encode([t])[0] if k in whole else bytes(data[s:e]) for k, (t, s, e) in enumerate(zip(texts, ends, ends[1:], strict=False))]
 
 
-def word_encoder(path: str, keep: int = 200_000) -> WordEncoder:
+def word_encoder(path: str, keep: int = 350_000) -> WordEncoder:
     """One encoder for each file and worker process, which keeps what it has learnt from task to task."""
     return kept(("words", path, keep), lambda: WordEncoder(path, keep))
 
@@ -215,14 +215,17 @@ def pack(
     window: int = 2048,
     end_id: int = 1,
     with_ids: bool = True,
-    group_docs: int = 8192,
-    group_tokens: int = 1_000_000,
+    group_docs: int = 16384,
+    group_tokens: int = 8_000_000,
+    slice_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Pack ``docs(doc_id, text)``: a row for each piece, as in ``SCHEMA``.
 
     ``encoder()`` is called once in each task and gives a function from texts
     to little-endian unsigned 32-bit ids. ``sequence_id`` is the partition's
-    number in the high bits and the window's in the low 32.
+    number in the high bits and the window's in the low 32. ``slice_bytes`` of
+    texts are encoded at once; smaller ones, and smaller groups, take less memory
+    of a worker and more time.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -230,7 +233,7 @@ def pack(
         encode = encoder()
         base, made, docs_, ids, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
+            for part in slices(batch, 1, slice_bytes):
                 new = [b + end for b in encode([t or "" for t in part.column(1).to_pylist()])]
                 docs_ += part.column(0).to_pylist()
                 ids += new
