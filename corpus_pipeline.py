@@ -54,7 +54,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each row's tokens, with its sequence and place there. A null or empty text is its
     end token alone, repeated rows are packed as often as they occur, and no rows give none."""
     path = queries.vocabulary("word_bpe_49k.json")
-    return packing.pack(docs, lambda: packing.word_encoder(path, 30_000))  # workers of earlier stages hold memory too
+    # executors hold memory of the stages before
+    return packing.pack(docs, lambda: packing.word_encoder(path, 30_000), group_docs=8192, group_tokens=1_000_000, slice_bytes=1 << 20)
 
 
 STAGES = [
