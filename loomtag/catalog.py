@@ -93,6 +93,17 @@ def _(spark, d):
     return found.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(c("event_type").isin("characters", "space"), F.length("content"))), F.lit(0)).alias("n"), F.max(attr("src")).alias("src"))
 
 
+@query("P3_process_whole", """
+SELECT n_nationkey AS doc_id, 'error' AS event_type, 'undefined_entity' AS v FROM nation
+UNION ALL SELECT n_nationkey, 'start_element', 'a ' || n_nationkey FROM nation
+UNION ALL SELECT n_nationkey, 'characters', n_name || ' AB [v' || n_nationkey || ']&x; <' FROM nation""")
+def _(spark, d):
+    """Documents with an entity that nothing declares, from bytes to resolved events and errors."""
+    source = docs.entities(spark, d).select("doc_id", F.encode(F.replace("xml", F.lit("&f;"), F.lit("&f;&x;")), "UTF-8").alias("xml"))
+    found = documents.process(source).where(c("event_type").isin("error", "start_element", "characters"))
+    return found.select(c("doc_id").cast("int").alias("doc_id"), "event_type", F.coalesce("error.type", attr("k"), "content").alias("v"))
+
+
 @query("P4_event_counts", """
 SELECT event_type, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT unnest(['start_document', 'end_document', 'start_element', 'end_element', 'comment', 'processing_instruction', 'cdata']) AS event_type, count(*) AS n FROM documents GROUP BY 1
@@ -547,6 +558,30 @@ def _(spark, d):
     return events.groupBy(c("doc_id").cast("int").alias("doc_id")).agg(F.max(attr("k")).alias("k"), F.max(F.when(c("event_type") == "characters", resolve.resolve_text(c("content")))).alias("text"))
 
 
+@query("P27_external_dtd", "SELECT n_nationkey AS doc_id, r_name || '-' || n_nationkey || '-both' AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    """Outer subsets from a table, one for each region, which all name a further text."""
+    own = docs.table(spark, d, "region").select(docs.cat("s", c("r_regionkey"), ".dtd").alias("system_id"), docs.cat('<?xml encoding="UTF-8"?><!ENTITY e "', c("r_name"), '"><!ENTITY % m SYSTEM \'more.mod\'>%m;').alias("content"))
+    outer = own.union(spark.createDataFrame([("more.mod", '<!ENTITY f "both">')], own.schema))
+    source = docs.table(spark, d, "nation").select(c("n_nationkey").alias("doc_id"), docs.cat('<!DOCTYPE n SYSTEM "s', c("n_regionkey"), '.dtd" [<!ENTITY i "', c("n_nationkey"), '">]><n>&e;-&i;-&f;</n>').alias("xml"))
+    return parse(documents.resolved(source, external=outer)).where("event_type = 'characters'").select("doc_id", c("content").alias("text"))
+
+
+#: Declarations that no document may hold, and what they are called.
+REJECTED = [
+    ('<!ENTITY e "50%">', "bare_percent"), ('<!ENTITY e "&#0;">', "invalid_char_ref"), ('<!ATTLIST a b CDATA "x & y">', "bare_ampersand"), ("<!ATTLIST 1a b CDATA #IMPLIED>", "invalid_name"), ("<!ATTLIST a 1b CDATA #IMPLIED>", "invalid_name"),
+    ('<!ATTLIST a b (x,y) "x">', "invalid_enumeration"), ("<!ATTLIST a b NOTATION (1x) #IMPLIED>", "invalid_enumeration"), ('<!NOTATION 1n SYSTEM "s">', "invalid_name"), ('<!ENTITY e SYSTEM "s" NDATA 1n>', "invalid_name"), ("<?xml version='1.0'?>", "reserved_pi_target"),
+    ('<!ENTITY % p "x"><!ENTITY e "%p;">', "pe_in_internal_declaration"), ('<!NOTATION n PUBLIC "{}">', "invalid_public_id"), ("<!ELEMENT a - - (b)>", "invalid_element"), ("<!ELEMENT a (b)) >", "invalid_content_model"), ("<!-- a -- b -->", "invalid_declaration"),
+]
+
+
+@query("DT8_rejections", f"SELECT n_nationkey AS doc_id, v.error FROM nation JOIN (VALUES {', '.join(str((i, k)) for i, (_, k) in enumerate(REJECTED))}) v(i, error) ON n_nationkey % {len(REJECTED)} = v.i")
+def _(spark, d):
+    pick = F.element_at(F.array(*[F.lit(x) for x, _ in REJECTED]), (c("n_nationkey") % len(REJECTED) + 1).cast("int"))
+    source = docs.table(spark, d, "nation").select(c("n_nationkey").alias("doc_id"), docs.cat("<!DOCTYPE a [", pick, "]><a/>").alias("xml"))
+    return documents.declarations(source).where("kind = 'error'").select("doc_id", "error")
+
+
 # --- consumers
 
 

@@ -26,6 +26,10 @@ _ATTDEF = re.compile(rf"\s+(?P<name>{_NAME})\s+(?P<type>CDATA|IDREFS|IDREF|ID|EN
 _HEAD = re.compile(rf"DOCTYPE\s+(?P<root>{_NAME})\s*(?:{_EXTERNAL.pattern})?\s*(?P<open>\[)?", re.S)
 _CHAR = re.compile(r"&#(x[0-9a-fA-F]+|[0-9]+);")
 _REF = re.compile(r"&(#x[0-9a-fA-F]+|#[0-9]+|[A-Za-z_:][\w.:\-]*);")
+_BARE = re.compile(r"&(?!#x[0-9a-fA-F]+;|#[0-9]+;|[A-Za-z_:][\w.:\-]*;)")
+_PERCENT = re.compile(r"%(?![A-Za-z_:][\w.:\-]*;)")
+_NMTOKEN = re.compile(r"[\w.:\-\u00b7]+\Z")
+_TEXT_DECLARATION = re.compile(r"\A<\?xml\s[^?]*\?>")
 _PE = re.compile(r"%([A-Za-z_:][\w.:\-]*);")
 
 
@@ -218,6 +222,14 @@ class Model:
         return {el: {a.name for a in attrs if a.type in TOKENS} for el, attrs in self.attributes.items()}
 
 
+def _references(value: str, name: str) -> None:
+    """Each ampersand of a literal opens a reference, and each character reference names a character."""
+    if _BARE.search(value):
+        raise DTDError("bare_ampersand", name)
+    if any(character(r) is None for r in _CHAR.findall(value)):
+        raise DTDError("invalid_char_ref", name)
+
+
 def parse_entity(text: str) -> tuple[bool, str, Entity]:
     m = _ENTITY.fullmatch(text)
     if not m:
@@ -228,8 +240,9 @@ def parse_entity(text: str) -> tuple[bool, str, Entity]:
         raise DTDError("invalid_name", m["name"])
     if m["value"] is not None:
         value = _bare(m["value"])
-        if re.search(r"&(?!#x[0-9a-fA-F]+;|#[0-9]+;|[A-Za-z_:][\w.:\-]*;)", value):
-            raise DTDError("bare_ampersand", m["name"])
+        _references(value, m["name"])
+        if _PERCENT.search(value):
+            raise DTDError("bare_percent", m["name"])
         return bool(m["pe"]), m["name"], Entity("internal", value)
     public = _bare(m["pub"])
     if public is not None and not valid_public_id(public):
@@ -238,6 +251,8 @@ def parse_entity(text: str) -> tuple[bool, str, Entity]:
         raise DTDError("missing_system_id", m["name"])
     if m["pe"] and m["ndata"]:
         raise DTDError("ndata_on_parameter_entity", m["name"])
+    if m["ndata"] and not is_name(m["notation"]):
+        raise DTDError("invalid_name", m["notation"])
     return bool(m["pe"]), m["name"], Entity("unparsed" if m["ndata"] else "external", None, _bare(m["sys"] or m["psys"]), public, m["notation"])
 
 
@@ -245,18 +260,24 @@ def parse_attlist(text: str) -> tuple[str, list[Attribute]]:
     m = _ATTLIST.fullmatch(text)
     if not m:
         raise DTDError("invalid_attlist", text[:60])
+    if not is_name(m["name"]):
+        raise DTDError("invalid_name", m["name"])
     out, at, rest = [], 0, m["rest"]
     while a := _ATTDEF.match(rest, at):
         kind, values = a["type"], []
+        if not is_name(a["name"]):
+            raise DTDError("invalid_name", a["name"])
         if "(" in kind:
             values = [v.strip() for v in kind[kind.index("(") + 1 : -1].split("|")]
-            if not all(values) or any(re.search(r"\s", v) for v in values):
-                raise DTDError("invalid_enumeration", a["name"])
             kind = "NOTATION" if kind.startswith("NOTATION") else "enumeration"
+            if not all(is_name(v) if kind == "NOTATION" else _NMTOKEN.match(v) for v in values):
+                raise DTDError("invalid_enumeration", a["name"])
         how = a["how"][1:] if a["how"] else "FIXED" if a["fixed"] else "DEFAULT"
         default = _bare(a["value"])
-        if default is not None and "<" in default:
-            raise DTDError("lt_in_default", a["name"])
+        if default is not None:
+            if "<" in default:
+                raise DTDError("lt_in_default", a["name"])
+            _references(default, a["name"])
         if all(x.name != a["name"] for x in out):
             out.append(Attribute(a["name"], kind, values, how, default))
         at = a.end()
@@ -289,6 +310,11 @@ def expand_parameters(text: str, parameters: dict[str, Entity], resolve=None) ->
     raise DTDError("circular_parameter_entity", "too many rounds")
 
 
+def _outer(e: Entity, resolve) -> str:
+    """The text of an outer parameter entity, without a text declaration; empty if it isn't to be had."""
+    return _TEXT_DECLARATION.sub("", (resolve(e.system_id, e.public_id) if resolve else None) or "")
+
+
 def conditional_sections(text: str) -> str:
     """INCLUDE sections opened and IGNORE sections removed, from the innermost."""
     pattern = re.compile(r"<!\[\s*(INCLUDE|IGNORE)\s*\[((?:(?!<!\[|\]\]>).)*)\]\]>", re.S)
@@ -309,12 +335,14 @@ def parse(text: str, model: Model | None = None, external: bool = False, resolve
         text = conditional_sections(_collected(text, model, resolve))
     while at < len(text):
         if m := step.match(text, at):
+            if re.match(r"<\?xml[\s?]", m[0], re.I) and not (external and m.start() == 0):  # a text declaration may begin it
+                raise DTDError("reserved_pi_target", m[0][:40])
             at = m.end()
         elif m := _PE.match(text, at):
             e = model.parameters.get(m[1])
             if e is None:
                 raise DTDError("undefined_parameter_entity", m[1])
-            value = e.value if e.kind == "internal" else resolve(e.system_id, e.public_id) if resolve else ""
+            value = e.value if e.kind == "internal" else _outer(e, resolve)
             text, at = f"{expand_char_refs(value or '')}{text[m.end() :]}", 0
             if len(text) > MAX_BYTES:
                 raise DTDError("max_expansion_exceeded", m[1])
@@ -324,7 +352,8 @@ def parse(text: str, model: Model | None = None, external: bool = False, resolve
                 raise DTDError("unterminated_declaration", text[at : at + 40])
             decl = text[at:].encode()[: end + 1].decode()
             at += len(decl)
-            if not external and not decl.startswith("<!ENTITY") and _PE.search(re.sub(_LITERAL, "", decl)):
+            # where a value holds one it is a reference too; other literals hold per cent signs
+            if not external and _PE.search(decl if decl.startswith("<!ENTITY") and not re.search(r"\s(?:SYSTEM|PUBLIC)\s", re.sub(_LITERAL, "", decl)) else re.sub(_LITERAL, "", decl)):
                 raise DTDError("pe_in_internal_declaration", decl[:60])
             _declare(decl, model)
         else:
@@ -333,15 +362,38 @@ def parse(text: str, model: Model | None = None, external: bool = False, resolve
 
 
 def _collected(text: str, model: Model, resolve) -> str:
-    """An external subset with its parameter entities expanded, as they may stand anywhere there."""
+    """An external subset with its parameter entities expanded, as they may stand anywhere there; what an expansion
+    declares is known to the next round."""
     found = dict(model.parameters)
-    for m in _ENTITY.finditer(text):
-        if m["pe"] and m["value"] is not None:
-            found.setdefault(m["name"], Entity("internal", expand_char_refs(_bare(m["value"]))))
-    declarations = _ENTITY.sub(lambda m: m[0] if m["pe"] else m[0], text)
-    kept: list[str] = []
-    held = re.sub(r"<!ENTITY\s+%[^>]*>", lambda m: kept.append(m[0]) or f"\0{len(kept) - 1}\0", declarations)
-    return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], expand_parameters(held, found, resolve))
+    for _ in range(MAX_ROUNDS):
+        kept: list[str] = []
+        changed = False
+
+        def hold(m: re.Match) -> str:
+            if not m["pe"]:
+                return m[0]
+            own = Entity("external", None, _bare(m["sys"] or m["psys"])) if m["value"] is None else Entity("internal", expand_char_refs(_bare(m["value"])))
+            found.setdefault(m["name"], own)
+            kept.append(m[0])  # noqa: B023
+            return f"\0{len(kept) - 1}\0"  # noqa: B023
+
+        def one(m: re.Match) -> str:
+            nonlocal changed
+            e = found.get(m[1])
+            if e is None:
+                return m[0]
+            changed = True
+            return f" {e.value if e.kind == 'internal' else _outer(e, resolve)} "
+
+        held = _PE.sub(one, _ENTITY.sub(hold, text))
+        if not changed and (m := _PE.search(held)):
+            raise DTDError("undefined_parameter_entity", m[1])
+        text = re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], held)  # noqa: B023
+        if not changed:
+            return text
+        if len(text) > MAX_BYTES:
+            raise DTDError("max_expansion_exceeded", "parameter entities")
+    raise DTDError("circular_parameter_entity", "too many rounds")
 
 
 def _declare(decl: str, model: Model) -> None:
@@ -365,6 +417,8 @@ def _declare(decl: str, model: Model) -> None:
             raise DTDError("invalid_notation", decl[:60])
         if ":" in m["name"]:
             raise DTDError("colon_in_notation_name", m["name"])
+        if not is_name(m["name"]):
+            raise DTDError("invalid_name", m["name"])
         if m["pub"] and not valid_public_id(_bare(m["pub"])):
             raise DTDError("invalid_public_id", _bare(m["pub"]))
         model.notations.setdefault(m["name"], (_bare(m["sys"] or m["psys"]), _bare(m["pub"])))
@@ -378,21 +432,29 @@ def parse_doctype(content: str, external=None) -> Model:
     m = _HEAD.match(content)
     if not m:
         raise DTDError("invalid_doctype", content[:60])
+    if not is_name(m["root"]):
+        raise DTDError("invalid_name", m["root"])
+    if m["pub"] and not valid_public_id(_bare(m["pub"])):
+        raise DTDError("invalid_public_id", _bare(m["pub"]))
+    if m["pub"] and m["psys"] is None:
+        raise DTDError("missing_system_id", m["root"])
+    end = content.rfind("]") if m["open"] else m.end() - 1
+    if end < m.end() - 1 or content[end + 1 :].strip():
+        raise DTDError("invalid_doctype", content[max(end, 0) :][:60])
     model = Model(m["root"], _bare(m["sys"] or m["psys"]), _bare(m["pub"]))
     if m["open"]:
-        end = content.rindex("]")
         parse(content[m.end() : end], model, resolve=external)
     if external and model.system_id is not None and (text := external(model.system_id, model.public_id)):
         model.merge(parse(text, Model(parameters=dict(model.parameters)), external=True, resolve=external))
     return model
 
 
-def model_of_document(b: bytes) -> Model | None:
+def model_of_document(b: bytes, external=None) -> Model | None:
     """The model of the document's first doctype; None without one or if it is not valid."""
     for e in events(b, ParserConfig(markers=False)):
         if e.kind == "dtd":
             try:
-                return parse_doctype(e.content)
+                return parse_doctype(e.content, external)
             except DTDError:
                 return None
         if e.kind == "start_element":
@@ -400,13 +462,13 @@ def model_of_document(b: bytes) -> Model | None:
     return None
 
 
-def rows_of_document(b: bytes, edition: int = 5) -> list[dict]:
+def rows_of_document(b: bytes, edition: int = 5, external=None) -> list[dict]:
     for e in events(b, ParserConfig(markers=False, edition=edition)):
         if e.kind == "start_element":
             return []
         if e.kind == "dtd":
             try:
-                return _rows(parse_doctype(e.content))
+                return _rows(parse_doctype(e.content, external))
             except DTDError as x:
                 return [_row("error", error=x.kind, value=x.message)]
     return []
@@ -437,12 +499,12 @@ def _rows(m: Model) -> list[dict]:
     return out
 
 
-def resolve_document(b: bytes, on_unknown: str = "keep") -> str:
+def resolve_document(b: bytes, on_unknown: str = "keep", external=None) -> str:
     """The document with declared entities replaced in text and attributes, the markup an entity holds
     becoming markup, and tokenised attributes normalised."""
     from .tree import write
 
-    model = model_of_document(b) or Model()
+    model = model_of_document(b, external) or Model()
     tokens, known = model.token_attributes(), {}
 
     def value(name: str) -> str | None:

@@ -94,3 +94,8 @@ def stax_code() -> Column:
     """The event's number; the XML declaration counts as the start of the document."""
     kind = F.when(F.col("event_type") == "prolog", "start_document").otherwise(F.col("event_type"))
     return F.element_at(F.create_map(*[F.lit(x) for kv in STAX_CODES.items() for x in kv]), kind)
+
+
+def stax_kind(code: Column) -> Column:
+    """The kind of an event's number; null for numbers that stand for none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in STAX_CODES.items() for x in (v, k)]), code.cast("int"))

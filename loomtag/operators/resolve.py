@@ -87,3 +87,14 @@ def track(events: DataFrame, only_changes: bool = False) -> DataFrame:
     changed = F.exists("attrs", lambda a: F.coalesce(a["ns_uri"] == XMLNS, F.lit(False)))
     starts = events.where(is_("start_element") & changed if only_changes else is_("start_element"))
     return starts.select("doc_id", "seq", "name", "elem_id", "depth", "ns_scope")
+
+
+def contexts(events: DataFrame) -> DataFrame:
+    """(doc_id, ns_scope): the namespaces in scope at each document's first element (parse with ``scopes=True``)."""
+    starts = events.where(is_("start_element"))
+    return starts.groupBy("doc_id").agg(F.min_by("ns_scope", "seq").alias("ns_scope"))
+
+
+def errors(events: DataFrame) -> DataFrame:
+    """The error events that resolving names made."""
+    return events.where(is_("error") & (F.col("error.source") == "namespaces"))

@@ -49,11 +49,27 @@ def _root() -> Column:
     return is_("start_element") & (F.col("depth") == 1)
 
 
+_DECLARED = "struct<names:array<string>,unparsed:array<string>,external:array<string>,open:boolean>"
+
+
+def _declared() -> Column:
+    """What entities the document's first declaration declares. ``open``: it refers to parameter entities or to
+    an outer subset, where more may be declared."""
+    text = F.regexp_replace("content", r"(?s)<!--.*?-->|<\?.*?\?>", "")
+    literal = r"(?:\"[^\"]*\"|'[^']*')"
+    outer = rf"(?:SYSTEM\s+{literal}|PUBLIC\s+{literal}\s+{literal})"
+    names = lambda rest: F.regexp_extract_all(text, F.lit(rf"<!ENTITY\s+([^\s%\"'<>&;]+)\s+{rest}"), F.lit(1))
+    more = F.regexp_replace(text, literal, "").rlike(r"%[A-Za-z_:]") | text.rlike(r"\A[^\[]*\s(?:SYSTEM|PUBLIC)\s")
+    own = F.struct(names("[\"'SP]").alias("names"), names(outer + r"\s+NDATA").alias("unparsed"), names(outer + r"\s*>").alias("external"), more.alias("open")).cast(_DECLARED)
+    return F.first(F.when(is_("dtd"), own), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
 #: What rules read of a document's other events, each by one window.
 _NEIGHBOURS = {
     "__closed": _closed,
     "__n": lambda: F.sum(F.when(_root(), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)),
     "__all": lambda: F.count_if(_root()).over(Window.partitionBy("doc_id")),
+    "__declared": _declared,
 }
 
 
@@ -134,11 +150,8 @@ def parser_errors() -> Column:
     return F.coalesce(F.when(is_("error"), F.array(own)), _none())
 
 
-def entity_references(events: DataFrame, known: Column | None = None, unparsed: Column | None = None, external: Column | None = None) -> DataFrame:
-    """References to entities that aren't among ``known`` (an array column), that are unparsed, or that are
-    external and stand in an attribute."""
+def _references(known: Column, unparsed: Column, external: Column) -> Column:
     none = F.array().cast("array<string>")
-    known, unparsed, external = (x if x is not None else none for x in (known, unparsed, external))
     refs = lambda t: F.regexp_extract_all(t, F.lit("&([a-zA-Z_][a-zA-Z0-9._-]*);"), F.lit(1))
     inside = F.coalesce(F.when(is_("characters"), refs(F.col("content"))), none)
     values = F.coalesce(F.flatten(F.transform("attrs", lambda a: refs(a["value"]))), none)
@@ -149,7 +162,24 @@ def entity_references(events: DataFrame, known: Column | None = None, unparsed:
         F.transform(F.filter(F.concat(inside, values), lambda x: F.array_contains(unparsed, x)), kind("unparsed_entity")),
         F.transform(F.filter(values, lambda x: F.array_contains(external, x)), kind("external_entity_in_attribute")),
     )
-    return events.select("doc_id", "seq", F.inline(_each("entity_references", found))).select(*_COLUMNS)
+    return _each("entity_references", found)
+
+
+def entity_references(events: DataFrame, known: Column | None = None, unparsed: Column | None = None, external: Column | None = None) -> DataFrame:
+    """References to entities that aren't among ``known`` (an array column), that are unparsed, or that are
+    external and stand in an attribute."""
+    none = F.array().cast("array<string>")
+    known, unparsed, external = (x if x is not None else none for x in (known, unparsed, external))
+    return events.select("doc_id", "seq", F.inline(_references(known, unparsed, external))).select(*_COLUMNS)
+
+
+@rule("__declared")
+def own_entities() -> Column:
+    """References held against what the document itself declares. Without a declaration, or where one refers to
+    parameter entities or an outer subset, undefined ones aren't looked for."""
+    d = F.col("__declared")
+    found = F.coalesce(_references(d["names"], d["unparsed"], d["external"]), _none())
+    return F.filter(found, lambda x: ~d["open"] | (x["type"] != "undefined_entity"))
 
 
 def entity_references_declared(events: DataFrame, entities: DataFrame) -> DataFrame:
@@ -249,10 +279,12 @@ def all_of(events: DataFrame, *validators) -> DataFrame:
 
 
 def compliant(events: DataFrame, entities: DataFrame | None = None) -> DataFrame:
-    """All that a conforming reader reports, the tokenizer's own errors among them. With ``entities(doc_id, name,
-    kind)``, what documents declare, references are held against these."""
-    found = all_of(events, xml_declaration, well_formed, root_boundary, attributes, comments, processing_instructions, namespaces, parser_errors)
-    return found if entities is None else found.unionByName(entity_references_declared(events, entities))
+    """All that a conforming reader reports, the tokenizer's own errors among them, in one pass. References are
+    held against what the document itself declares; with ``entities(doc_id, name, kind)``, against these."""
+    rules = (xml_declaration, well_formed, root_boundary, attributes, comments, processing_instructions, namespaces, parser_errors)
+    if entities is None:
+        return all_of(events, *rules, own_entities)
+    return all_of(events, *rules).unionByName(entity_references_declared(events, entities))
 
 
 def apply(events: DataFrame, found: DataFrame, on_error: str = "emit") -> DataFrame:

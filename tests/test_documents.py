@@ -71,6 +71,20 @@ def test_dtd_rejects(subset, kind):
     assert e.value.kind == kind
 
 
+@pytest.mark.parametrize(("content", "kind"), [("DOCTYPE r junk", "invalid_doctype"), ("DOCTYPE r [] x", "invalid_doctype"), ("DOCTYPE r [", "invalid_doctype"), ('DOCTYPE r PUBLIC "p"', "missing_system_id"), ('DOCTYPE r PUBLIC "{" "s"', "invalid_public_id")])
+def test_doctype_rejects(content, kind):
+    with pytest.raises(dtd.DTDError) as e:
+        dtd.parse_doctype(content)
+    assert e.value.kind == kind
+
+
+def test_declarations_hold_per_cent_signs_where_they_may():
+    m = dtd.parse_doctype("DOCTYPE r [<!ENTITY % p '<!ATTLIST r k CDATA \"5%\">'.replace>]".replace(".replace", "").replace("5%", "5&#37;"))
+    assert m.parameters["p"].value == '<!ATTLIST r k CDATA "5%">'
+    m = dtd.parse_doctype('DOCTYPE r [<!ATTLIST r k CDATA "5%"><!ENTITY e SYSTEM "a%20b">]')
+    assert m.attributes["r"][0].default == "5%" and m.entities["e"].system_id == "a%20b"
+
+
 def test_entities_have_limits():
     chain = "".join(f'<!ENTITY e{i} "&e{i + 1};">' for i in range(15)) + '<!ENTITY e15 "x">'
     m = dtd.parse_doctype(f"DOCTYPE r [{chain}]")

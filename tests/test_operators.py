@@ -106,3 +106,29 @@ def test_files_as_documents(spark, tmp_path):
     (tmp_path / "x.xml").write_bytes(b"\xef\xbb\xbf<a>\r\n</a>")
     rows = parse_files(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r.event_type, r.content) for r in rows] == [("start_document", None), ("start_element", None), ("space", "\n"), ("end_element", None), ("end_document", None)]
+
+
+def test_external_texts_come_from_the_table_alone(spark):
+    from loomtag.operators.documents import resolved
+
+    docs = [("a", '<!DOCTYPE r SYSTEM "x"><r>&e;</r>'), ("b", '<!DOCTYPE r SYSTEM "none"><r>&e;</r>'), ("c", "<r>&e;</r>"), ("d", None), ("e", "<!DOCTYPE r [<!ENTITY % p SYSTEM 'x'>%p;]><r>&e;</r>")]
+    outer = spark.createDataFrame([("x", '<!ENTITY % m SYSTEM "y">%m;'), ("y", '<?xml encoding="UTF-8"?><!ENTITY e "E"><!ENTITY % back SYSTEM "x">'), (None, "z"), ("y", "<?xml")], "system_id string, content string")
+    out = dict(resolved(spark.createDataFrame(docs, "doc_id string, xml string"), external=outer.where("content <> '<?xml'")).collect())
+    assert {k: v[-8:] for k, v in out.items() if k != "d"} == {"a": "<r>E</r>", "b": "p;e;</r>", "c": "p;e;</r>", "e": "<r>E</r>"} and out["d"] == ""
+
+
+def test_references_are_held_against_own_declarations(spark):
+    from loomtag.operators.validate import compliant
+    from loomtag.sources.parse import parse
+
+    texts = ["<!DOCTYPE r [<!ENTITY e 'x'><!-- <!ENTITY c 'x'> -->]><r>&e;&c;</r>", "<r>&c;</r>", '<!DOCTYPE r [<!ENTITY % p "">%p;]><r>&c;</r>', '<!DOCTYPE r SYSTEM "s"><r>&c;</r>',
+             '<!DOCTYPE r [<!NOTATION n SYSTEM "n"><!ENTITY u SYSTEM "u" NDATA n><!ENTITY x SYSTEM "x">]><r a="&x;">&u;&x;&amp;</r>']
+    found = compliant(parse(spark.createDataFrame(list(enumerate(texts)), "doc_id long, xml string"))).select("doc_id", "type", "detail").collect()
+    assert sorted(map(tuple, found)) == [(0, "undefined_entity", "c"), (4, "external_entity_in_attribute", "x"), (4, "unparsed_entity", "u")]
+
+
+def test_numbers_of_events_both_ways(spark):
+    from loomtag.operators.accessors import STAX_CODES, stax_kind
+
+    rows = spark.createDataFrame([(v,) for v in [*STAX_CODES.values(), 99]], "n int").select("n", stax_kind(F.col("n"))).collect()
+    assert {k: v for k, v in rows} == {**{v: k for k, v in STAX_CODES.items()}, 99: None}
