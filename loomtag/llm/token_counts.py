@@ -6,7 +6,11 @@ merged, and the pairs at both sides of the merged symbol enter the heap. A
 popped entry counts only if its two symbols are still what they were. The count
 is the initial symbols less the merges; no identifiers are made.
 
-Null text counts as empty: zero bytes and tokens. Ties of rank go to the
+A file with settings that this way of counting doesn't follow (another split or
+normalizer, added tokens that strip or want whole words, dropout, affixes) is
+refused with a ValueError. Null text counts as empty: zero bytes and tokens. An
+empty table gives an empty result; very long texts are counted whole, in
+slices. Ties of rank go to the
 leftmost pair. Rows that repeat are counted as often as they occur.
 """
 
@@ -41,6 +45,7 @@ class MergeCounter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._accept(spec)
         vocab = spec["model"]["vocab"]
         self.byte_id = [vocab[s] for s in byte_symbols()]
         # (left, right) as one integer -> rank; and by rank the two symbols and the merged one
@@ -57,6 +62,21 @@ class MergeCounter:
         self.safe_cut = re.compile(r"(?<=\S) (?=\S)")
         self.keep, self.chunks, self.words = keep, {}, {}
 
+    @staticmethod
+    def _accept(spec: dict) -> None:
+        """Refuse a file that asks for more than merges of pre-tokens."""
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        other = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+        other += [k for k in ("single_word", "lstrip", "rstrip") if any(x.get(k) for x in spec["added_tokens"])]
+        if spec.get("normalizer"):
+            other.append("normalizer")
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            other.append("pre_tokenizer")
+        if model.get("type") != "BPE":
+            other.append("model")
+        if other:
+            raise ValueError(f"token counts don't follow these settings of the tokenizer file: {', '.join(other)}")
+
     def pretoken(self, token: str) -> int:
         """Tokens of one pre-token. Heap entries are rank and place in one integer."""
         sym = [self.byte_id[b] for b in token.encode("utf-8")]

@@ -102,3 +102,15 @@ def test_pieces_rebuild_documents(odd, library):
         total = sum(r.length for r in own)
         assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))] and total <= 256
         assert all(r.sequence_tokens == total and r.padded_tokens == (total if total & (total - 1) == 0 else 256) for r in own)
+
+
+def test_counts_refuse_files_they_do_not_follow(tmp_path):
+    import json
+
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "ignore_merges": True}}):
+        file = tmp_path / "changed.json"
+        file.write_text(json.dumps({**spec, **change}), encoding="utf-8")
+        with pytest.raises(ValueError, match=next(iter(change)) if "model" not in change else "ignore_merges"):
+            MergeCounter(str(file))
