@@ -684,7 +684,7 @@ def _(spark, d):
 
 @query("C2_stax_codes", "SELECT o_orderkey AS doc_id, CAST(7 + 8 + 4 + 2 * 3 + coalesce(n, 0) * (3 * 3 + 2 * 4) AS BIGINT) AS codes FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def _(spark, d):
-    return parse(docs.orders(spark, d)).groupBy("doc_id").agg(F.sum(E.stax_code()).cast("long").alias("codes"))
+    return parse(docs.orders(spark, d), columns=("event_type",)).groupBy("doc_id").agg(F.sum(E.stax_code()).cast("long").alias("codes"))
 
 
 @query("C5_attribute_by_namespace", "SELECT c_custkey AS doc_id, CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS seg, 'p:k' AS first, 2 AS n FROM customer")
