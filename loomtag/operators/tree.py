@@ -3,12 +3,19 @@ structure has to recurse."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tree import Halt, Handler, one
+from ..sources.columnar import pieces
+from .whole import among, as_list, documents_of, numbers, source, taken, whole, with_columns
+from pyspark.sql import Window
+
 from .accessors import attribute
 from .stream import fold, is_
 
@@ -92,16 +99,42 @@ def records(events: DataFrame, name: str, fields: dict[str, tuple[str, str]]) ->
     return owned.groupBy("doc_id", "record").agg(*aggs).drop("record")
 
 
+#: The callback of each kind of event, and the columns that callbacks read.
+_CALLS = {"start_document": "start_document", "end_document": "end_document", "start_element": "start_element", "end_element": "end_element", "characters": "characters", "cdata": "characters",
+          "space": "ignorable_whitespace", "comment": "comment", "processing_instruction": "processing_instruction", "error": "error"}
+_READ = {"start_element": ("ns_uri", "local", "name", "attrs"), "end_element": ("ns_uri", "local", "name"), "characters": ("content",), "cdata": ("content",), "space": ("content",), "comment": ("content",), "processing_instruction": ("name", "content"), "error": ("error",)}
+
+
 def sax_fold(events: DataFrame, handler: Handler, start: Callable[[], object], finish: Callable[[object], list[dict]], schema: str) -> DataFrame:
-    """Fold each document with a handler's callbacks; ``finish`` makes rows of the last state."""
-
-    def step(e: dict, state: tuple) -> tuple[tuple, list[dict]]:
-        done, own = state
-        if done:
-            return state, []
-        try:
-            return (False, one(e, handler, own)), []
-        except Halt as h:
-            return (True, h.state), []
-
-    return fold(events, lambda: (False, start()), step, lambda s: finish(s[1]), schema)
+    """Fold each document with a handler's callbacks; ``finish`` makes rows of the last state. Only events whose
+    callback the handler has of its own become rows of Python, and none after it has stopped."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    inert = lambda call: call != "error" and getattr(getattr(handler, call), "__func__", None) is getattr(Handler, call)
+    called = [k for k, call in _CALLS.items() if not inert(call)]
+    reads = ["event_type", *dict.fromkeys(x for k in called for x in _READ.get(k, ()))]
+    own = source(events, reads)
+    full = f"doc_id {own.kinds['doc_id']}, {schema}"
+    target = to_arrow_schema(_parse_datatype_string(full))
+    make = own.make
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, firsts in make(batches, reads):
+            rows = np.flatnonzero(among(batch.column("event_type"), *called))
+            bounds = np.append(np.searchsorted(rows, firsts), len(rows)).tolist()
+            some = batch.take(pa.array(rows))
+            names, lists, out = some.schema.names, [as_list(x) for x in some.columns], []
+            docs = as_list(batch.column("doc_id").take(pa.array(firsts)))
+            for doc, lo, hi in zip(docs, bounds[:-1], bounds[1:], strict=True):
+                state = start()
+                try:
+                    for i in range(lo, hi):
+                        state = one({k: x[i] for k, x in zip(names, lists, strict=True)}, handler, state)
+                except Halt as h:
+                    state = h.state
+                out += [{"doc_id": doc, **r} for r in finish(state)]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, target)
+
+    return own.docs.mapInArrow(run, full)
