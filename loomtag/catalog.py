@@ -616,7 +616,7 @@ def _(spark, d):
 
 @query("M11_text_content", "SELECT o_orderkey AS doc_id, o_orderstatus || coalesce(x, '') AS text FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_partkey || '' || CAST(l_quantity AS INT), '' ORDER BY l_linenumber, l_returnflag, l_partkey || '</part><qty>' || CAST(l_quantity AS INT) || '<') AS x FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def _(spark, d):
-    return nodes.text_content(parse(docs.orders(spark, d)), "order").select("doc_id", "text")
+    return nodes.text_content(parse(docs.orders(spark, d), columns=("event_type", "name", "content", "elem_id")), "order").select("doc_id", "text")
 
 
 @query("M5_elements_by_tag_name", "SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1")

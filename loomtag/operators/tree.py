@@ -73,15 +73,34 @@ def descendants(tree: DataFrame, local: str) -> DataFrame:
 
 
 def text_content(events: DataFrame, name: str) -> DataFrame:
-    """(doc_id, elem_id, text): all text below each element of a name, in order. Each text is counted for every
-    such element that is open around it, by a join of its interval."""
-    starts = events.where(is_("start_element") & (F.col("name") == name)).select("doc_id", F.col("elem_id").alias("id"), F.col("seq").alias("lo"))
-    ends = events.where(is_("end_element") & (F.col("name") == name)).select("doc_id", F.col("elem_id").alias("id"), F.col("seq").alias("hi"))
-    spans = starts.join(ends, ["doc_id", "id"])
-    texts = events.where(is_("characters", "space", "cdata") & F.array_contains("path", name)).select("doc_id", "seq", "content")
-    inside = spans.join(texts, "doc_id").where("seq > lo AND seq < hi").groupBy("doc_id", "id").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("parts"))
-    out = spans.select("doc_id", "id").join(inside, ["doc_id", "id"], "left")
-    return out.select("doc_id", F.col("id").alias("elem_id"), F.coalesce(F.array_join(F.transform("parts", lambda p: p["content"]), ""), F.lit("")).alias("text"))
+    """(doc_id, elem_id, text): all text below each closed element of a name, in order. Each text counts for every
+    such element that is open around it."""
+
+    def f(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        kind, own, elem = batch.column("event_type"), documents_of(len(batch), firsts), numbers(batch.column("elem_id"))
+        named = among(batch.column("name"), name)
+        starts, ends = (np.flatnonzero(among(kind, k) & named & (elem >= 0)) for k in ("start_element", "end_element"))
+        wide = int(elem.max(initial=0)) + 2
+        keys = own[ends] * wide + elem[ends]
+        order = np.argsort(keys, kind="stable")
+        mine = own[starts] * wide + elem[starts]
+        at = np.minimum(np.searchsorted(keys[order], mine), max(len(keys) - 1, 0))
+        found = keys[order][at] == mine if len(keys) else np.zeros(len(mine), bool)
+        starts, closes = starts[found], ends[order][at[found]] if len(keys) else starts[found]
+        texts = among(kind, "characters", "space", "cdata")
+        parts = batch.column("content").filter(pa.array(texts)).fill_null("")
+        held = parts.buffers()[2] or pa.py_buffer(b"")
+        size = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+        before = np.append(0, np.cumsum(texts))
+        lo, hi = size[before[starts]], size[before[closes]]
+        if (lo[1:] >= hi[:-1]).all():
+            out = pieces(held, lo, hi, pa.string())
+        else:  # one within another
+            out = pa.array([str(memoryview(held)[x:y], "utf-8") for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.string())
+        some, begin = taken(batch.select(["doc_id", "elem_id"]), starts, firsts)
+        return with_columns(some, text=out), begin
+
+    return whole(events, f, ("event_type", "name", "elem_id", "content"), {"text": "string"}, ("elem_id",), last=True)
 
 
 def records(events: DataFrame, name: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
