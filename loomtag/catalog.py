@@ -695,7 +695,7 @@ def _(spark, d):
 
 @query("C4_element_text", "SELECT l_orderkey AS doc_id, CAST(sum(length(l_partkey || '' || CAST(l_quantity AS INT))) AS BIGINT) AS n FROM lineitem GROUP BY 1")
 def _(spark, d):
-    return nodes.text_content(parse(docs.orders(spark, d)), "line").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"))
+    return nodes.text_content(parse(docs.orders(spark, d), columns=("event_type", "name", "content", "elem_id")), "line").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"))
 
 
 @query("W1_writer", "SELECT n_nationkey AS doc_id, '<?xml version=\"1.0\"?><n xmlns:p=\"urn:p\" p:k=\"' || n_nationkey || '\">' || n_name || '<e/></n>' AS xml FROM nation")
