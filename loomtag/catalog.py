@@ -234,7 +234,7 @@ def _(spark, d):
     def step(e: dict, state: tuple) -> tuple[tuple, list]:
         return ((state[0] + 1, max(state[1], e["depth"])) if e["event_type"] == "start_element" else state), []
 
-    return stream.fold(parse(docs.orders(spark, d)).select("doc_id", "seq", "event_type", "depth"), lambda: (0, 0), step, lambda s: [{"elements": s[0], "deepest": s[1]}], "elements long, deepest long")
+    return stream.fold(parse(docs.orders(spark, d), columns=("event_type", "depth")), lambda: (0, 0), step, lambda s: [{"elements": s[0], "deepest": s[1]}], "elements long, deepest long")
 
 
 @query("T2_event_mode", "SELECT n_nationkey AS doc_id, count(*) AS n FROM nation GROUP BY 1")

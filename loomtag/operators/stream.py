@@ -5,11 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Problem
+from .whole import as_rows, taken, whole, with_columns
 
 MARKERS = ("start_document", "end_document")
 #: A whitespace-only run of text.
@@ -138,20 +140,21 @@ def drop_while(events: DataFrame, test: Column) -> DataFrame:
 
 def fold(events: DataFrame, start: Callable[[], object], step: Callable[[dict, object], tuple[object, list[dict]]], finish: Callable[[object], list[dict]], schema: str, is_arranged: bool = False) -> DataFrame:
     """A stateful pass over each document: ``step(event, state)`` gives the next state and rows, ``finish(state)``
-    the last rows. One exchange by document; state is that of one document at a time, however many a
-    partition holds."""
+    the last rows. Events straight from the parser are folded where they are made, others after one exchange by
+    document; state is that of one document at a time, however many a partition holds."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     kind = events.schema["doc_id"].dataType.simpleString()
     full = f"doc_id {kind}, {schema}"
     target = to_arrow_schema(_parse_datatype_string(full))
-    rows = events if is_arranged else arranged(events)
+    own = events.__dict__.get("_whole")
+    make, kept = (own.make, own.kept) if own else (None, ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, state, began, out = None, None, False, []
-        for batch in batches:
-            for e in batch.to_pylist():
+        for batch in (b for b, _ in make(batches, kept)) if make else batches:
+            for e in as_rows(batch):
                 if not began or e["doc_id"] != doc:
                     if began:
                         out += [{"doc_id": doc, **r} for r in finish(state)]
@@ -164,4 +167,5 @@ def fold(events: DataFrame, start: Callable[[], object], step: Callable[[dict, o
         if began and (last := [{"doc_id": doc, **r} for r in finish(state)]):
             yield pa.RecordBatch.from_pylist(last, target)
 
+    rows = own.docs if own else events if is_arranged else arranged(events)
     return rows.mapInArrow(run, full)
