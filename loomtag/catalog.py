@@ -859,7 +859,7 @@ def _(spark, d):
 @query("SE10_key_transport", "SELECT c_custkey AS doc_id, c_name AS name FROM customer")
 def _(spark, d):
     sent = sealed.encrypt(_secret(spark, d), "#s1", bytes(range(16)), "aes128_gcm", "content", _key().public)
-    events = parse(sealed.decrypt(sent, private=_key()))
+    events = parse(sealed.decrypt(sent, private=_key()), columns=("event_type", "content", "path"))
     return events.where((c("event_type") == "characters") & (F.element_at("path", -1) == "s")).select("doc_id", resolve.resolve_text(c("content")).alias("name"))
 
 

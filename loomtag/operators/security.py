@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,19 +61,30 @@ def encrypted_parts(docs: DataFrame, text: str = "xml") -> DataFrame:
     return per_document(docs, lambda b: [{"place": k, **x} for k, x in enumerate(S.encrypted_list(b.decode()))], schema, text)
 
 
+#: Unwrapped keys that a task remembers.
+KEYS = 4096
+
+
 def decrypt(docs: DataFrame, key: bytes | None = None, private: S.PrivateKey | None = None, text: str = "xml") -> DataFrame:
-    """(doc_id, xml): every EncryptedData replaced by what it holds, with the key given or its own, unwrapped."""
-    found = encrypted_parts(docs, text)
-    if key is None:
-        unwrap = F.udf(lambda w: S.decrypt_key(bytes(w), private) if w is not None else None, "binary")  # once for each key, not for each row of a hot path
-        found = found.withColumn("key", unwrap("wrapped"))
-    else:
-        found = found.withColumn("key", F.lit(key))
-    plain = F.when(F.col("algorithm").endswith("gcm"), S.decrypt(F.col("cipher"), F.col("key"), "aes_gcm")).otherwise(S.decrypt(F.col("cipher"), F.col("key"), "aes_cbc"))
-    parts = found.select("doc_id", F.struct("start", "end", plain.alias("plain")).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    both = docs.join(parts, "doc_id", "left").select("doc_id", F.col(text).cast("binary").alias("b"), "parts")
+    """(doc_id, xml): every EncryptedData replaced by what it holds, with the key given or its own, unwrapped. Each
+    document is read once, where it stands; a wrapped key that comes again isn't unwrapped again."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    part = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("algorithm", pa.string()), ("cipher", pa.binary()), ("key", pa.binary())])
+
+    def find(batches):
+        unwrap = lru_cache(KEYS)(lambda w: S.decrypt_key(w, private))
+
+        def own(x: dict) -> bytes | None:
+            return key if key is not None else unwrap(x["wrapped"]) if x["wrapped"] is not None else None
+
+        for batch in batches:
+            parts = [[{**{k: x[k] for k in ("start", "end", "algorithm", "cipher")}, "key": own(x)} for x in S.encrypted_list((b or b"").decode())] for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(part))], ["doc_id", "b", "parts"])
+
+    both = docs.select("doc_id", F.col(text).cast("binary").alias("b")).mapInArrow(find, f"doc_id {kind}, b binary, parts array<struct<start:long,end:long,algorithm:string,cipher:binary,key:binary>>")
+    plain = lambda p: F.when(p["algorithm"].endswith("gcm"), S.decrypt(p["cipher"], p["key"], "aes_gcm")).otherwise(S.decrypt(p["cipher"], p["key"], "aes_cbc"))
     end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("parts", i - 1)["end"])
-    pieces = F.transform("parts", lambda p, i: F.concat(F.substr("b", (end(i) + 1).cast("int"), (p["start"] - end(i)).cast("int")), p["plain"]))
+    pieces = F.transform("parts", lambda p, i: F.concat(F.substr("b", (end(i) + 1).cast("int"), (p["start"] - end(i)).cast("int")), plain(p)))
     rest = F.substr("b", (F.get("parts", F.size("parts") - 1)["end"] + 1).cast("int"), F.octet_length("b"))
     whole = F.concat(F.aggregate(pieces, F.lit(b""), lambda acc, x: F.concat(acc, x)), rest)
-    return both.select("doc_id", F.when(F.coalesce(F.size("parts") > 0, F.lit(False)), whole).otherwise(F.col("b")).cast("string").alias("xml"))
+    return both.select("doc_id", F.when(F.size("parts") > 0, whole).otherwise(F.col("b")).cast("string").alias("xml"))

@@ -114,3 +114,16 @@ def test_documents_larger_than_what_is_done_at_once(spark, monkeypatch):
     big = "<a>" + '<b k="1">x</b>' * 120_000 + "</a>"
     found = {r["doc_id"]: r["n"] for r in parse(docs(spark, "<a/>", big, "<a>t</a>"), columns=("event_type",)).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert found == {0: 4, 1: 4 + 3 * 120_000, 2: 5}
+
+
+def test_a_wrapped_key_is_unwrapped_once_and_documents_are_not_joined(spark, monkeypatch):
+    p, q = 2**521 - 1, 2**607 - 1
+    private = crypto.PrivateKey(p * q, 65537, pow(65537, -1, (p - 1) * (q - 1)))
+    source_ = docs(spark, *[f'<c><s Id="s1">{i}</s></c>' for i in range(20)])
+    sent = sealed.encrypt(source_, "#s1", bytes(range(16)), "aes128_gcm", "content", private.public)
+    opened = sealed.decrypt(sent, private=private)
+    assert sorted(r["xml"] for r in opened.collect()) == sorted(r["xml"] for r in source_.collect())
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "BatchEvalPython" not in plan
+    mixed = spark.createDataFrame([(1, None), (2, "<a/>")], "doc_id long, xml string")
+    assert sorted((r[0], r[1]) for r in sealed.decrypt(mixed, private=private).collect()) == [(1, None), (2, "<a/>")]
