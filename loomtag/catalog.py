@@ -83,7 +83,7 @@ def _(spark, d):
 
 @query("P2_roundtrip_lineitem", "SELECT l_orderkey AS doc_id, l_linenumber AS no, l_returnflag AS flag, l_partkey AS part, CAST(l_quantity AS INT) AS qty FROM lineitem")
 def _(spark, d):
-    events = parse(docs.orders(spark, d))
+    events = parse(docs.orders(spark, d), columns=("event_type", "name", "attrs", "content", "path"))
     return nodes.records(events, "line", {"no": ("@no", "int"), "flag": ("@flag", "string"), "part": ("part", "long"), "qty": ("qty", "int")})
 
 

@@ -105,17 +105,52 @@ def text_content(events: DataFrame, name: str) -> DataFrame:
 
 def records(events: DataFrame, name: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """One row for each element of a name. A field is (``@attribute`` or child element, Spark type). The record an
-    event belongs to is the last start of that name before it, so one exchange by document is all it takes."""
-    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    owned = events.where(F.array_contains("path", name)).withColumn("record", F.max(F.when(is_("start_element") & (F.col("name") == name), F.col("seq"))).over(w))
-    aggs = []
-    for field, (where, kind) in fields.items():
-        if where.startswith("@"):
-            own = F.when(is_("start_element") & (F.col("name") == name), attribute(where[1:]))
-        else:
-            own = F.when(is_("characters", "cdata", "space") & (F.element_at("path", -1) == where), F.col("content"))
-        aggs.append(F.max(own).try_cast(kind).alias(field))
-    return owned.groupBy("doc_id", "record").agg(*aggs).drop("record")
+    event belongs to is the last start of that name before it; of several values the greatest counts."""
+
+    def f(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        n, kind, paths = len(batch), batch.column("event_type"), batch.column("path")
+        flat, lengths = paths.flatten(), numbers(pc.list_value_length(paths), 0)
+        ends = np.cumsum(lengths)
+        hits = np.append(0, np.cumsum(among(flat, name)))
+        inside = hits[ends] > hits[ends - lengths]
+        begins = among(kind, "start_element") & among(batch.column("name"), name)
+        first = np.repeat(firsts, np.diff(np.append(firsts, n)))
+        record = np.maximum.accumulate(np.where(begins & inside, np.arange(n), -1)) if n else first
+        record = np.where(record < first, -1 - first, record)  # what lies in such an element without its start is one record
+        rows = np.flatnonzero(inside)
+        keys, at = np.unique(record[rows], return_inverse=True)
+        heads = np.full(len(keys), n)
+        np.minimum.at(heads, at, rows)
+        order = np.argsort(heads, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        text = among(kind, "characters", "cdata", "space") & (lengths > 0)
+        owner = flat.take(pa.array(np.maximum(ends - 1, 0), mask=lengths == 0)) if len(flat) else pa.nulls(n, pa.string())
+        out = {}
+        for field, (where, _) in fields.items():
+            if where.startswith("@"):
+                own = np.flatnonzero(begins & inside)
+                attrs = batch.column("attrs").take(pa.array(own))
+                parents, items = pc.list_parent_indices(attrs).to_numpy(), attrs.flatten()
+                mine = np.flatnonzero(among(items.field("name"), where[1:])) if len(items) else np.zeros(0, np.int64)
+                _, once = np.unique(parents[mine], return_index=True)  # the first of the name
+                source, values = own[parents[mine[once]]], items.field("value").take(pa.array(mine[once]))
+            else:
+                source = np.flatnonzero(inside & text & among(owner, where))
+                values = batch.column("content").take(pa.array(source))
+            target = place[at[np.searchsorted(rows, source)]]
+            if len(np.unique(target)) < len(target):
+                best = pa.table({"k": target, "v": values}).group_by("k").aggregate([("v", "max")])
+                target, values = best.column("k").to_numpy(), best.column("v_max").combine_chunks()
+            back = np.full(len(keys), -1)
+            back[target] = np.arange(len(target))
+            out[field] = values.take(pa.array(np.maximum(back, 0), mask=back < 0)) if len(values) else pa.nulls(len(keys), pa.string())
+        some, begin = taken(batch.select(["doc_id"]), heads[order], firsts)
+        return with_columns(some, **out), begin
+
+    needs = ["event_type", "name", "path", "content", *(["attrs"] if any(w.startswith("@") for w, _ in fields.values()) else [])]
+    rows = whole(events, f, needs, dict.fromkeys(fields, "string"), last=True)
+    return rows.select("doc_id", *[F.col(k).try_cast(kind).alias(k) for k, (_, kind) in fields.items()])
 
 
 #: The callback of each kind of event, and the columns that callbacks read.
