@@ -626,7 +626,7 @@ def _(spark, d):
 
 @query("M6_element_by_id", "SELECT o_orderkey AS doc_id, 'order' AS name FROM orders")
 def _(spark, d):
-    n = nodes.nodes(parse(docs.orders(spark, d)))
+    n = nodes.nodes(parse(docs.orders(spark, d)), columns=("node_id", "kind", "name", "attrs", "pre", "post"))
     return nodes.element_by_id(n, c("doc_id").cast("string")).select("doc_id", "name")
 
 

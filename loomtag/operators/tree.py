@@ -20,22 +20,48 @@ from .accessors import attribute
 from .stream import fold, is_
 
 
-def nodes(events: DataFrame, include_comments: bool = False, keep_space: bool = False) -> DataFrame:
+def nodes(events: DataFrame, include_comments: bool = False, keep_space: bool = False, columns: Collection[str] | None = None) -> DataFrame:
     """(doc_id, node_id, parent_id, pre, post, depth, kind, name, local, prefix, ns_uri, attrs, content). Elements
-    take up ``pre``..``post`` in the order of events; leaves have both equal."""
-    kinds = ["characters", "cdata", "processing_instruction", *(["comment"] if include_comments else []), *(["space"] if keep_space else [])]
-    whole = events.repartition("doc_id")  # one exchange, one parse
-    post = F.max(F.when(is_("end_element"), F.col("seq"))).over(Window.partitionBy("doc_id", "elem_id"))
-    last = F.max("seq").over(Window.partitionBy("doc_id"))
-    marked = whole.withColumns({"post": post, "last": last})
-    element = is_("start_element")
-    rows = marked.where(element | is_(*kinds) & (F.col("depth") > 0))
-    own = lambda c: F.when(element, F.col(c)).alias(c)
-    return rows.select(
-        "doc_id", F.when(element, F.col("elem_id")).otherwise(F.col("seq")).alias("node_id"), F.when(element, F.col("parent_id")).otherwise(F.col("elem_id")).alias("parent_id"), F.col("seq").alias("pre"),
-        F.when(element, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"), F.when(element, "element").otherwise(F.col("event_type")).alias("kind"), "name", own("local"), own("prefix"), own("ns_uri"), "attrs",
-        F.when(~element, F.col("content")).alias("content"), F.when(element, F.coalesce("post", "last")).otherwise(F.col("seq")).alias("post"),
-    )
+    take up ``pre``..``post`` in the order of events; leaves have both equal. ``columns`` are those that are made."""
+    leaves = ["characters", "cdata", "processing_instruction", *(["comment"] if include_comments else []), *(["space"] if keep_space else [])]
+    given = events.columns
+
+    def f(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        n, kind = len(batch), batch.column("event_type")
+        own, seq, elem = documents_of(n, firsts), numbers(batch.column("seq")), numbers(batch.column("elem_id"))
+        element = among(kind, "start_element")
+        rows = np.flatnonzero(element | among(kind, *leaves) & (numbers(batch.column("depth"), 0) > 0))
+        some, begin = taken(batch, rows, firsts)
+        # the last end of each element; what is never closed ends with its document
+        wide = int(elem.max(initial=0)) + 2
+        ends = np.flatnonzero(among(kind, "end_element") & (elem >= 0))
+        keys = own[ends] * wide + elem[ends]
+        order = np.argsort(keys, kind="stable")
+        mine = own[rows] * wide + elem[rows]
+        at = np.searchsorted(keys[order], mine, "right") - 1
+        found = (at >= 0) & (len(keys) > 0)
+        found[found] = keys[order][at[found]] == mine[found]
+        last = np.maximum.reduceat(seq, firsts)[own[rows]] if n else seq
+        element, leaf_seq = element[rows], seq[rows]
+        post = np.where(element, last, leaf_seq)
+        closed = element & found
+        post[closed] = seq[ends][order][at[closed]]
+        is_element, depth = pa.array(element), some.column("depth")
+        out = {
+            "doc_id": some.column("doc_id"), "node_id": pc.if_else(is_element, some.column("elem_id"), some.column("seq")), "parent_id": pc.if_else(is_element, some.column("parent_id"), some.column("elem_id")),
+            "pre": some.column("seq"), "post": pa.array(post, pa.int64()), "depth": pc.add(depth, pa.array(~element).cast(pa.int32())), "kind": pc.if_else(is_element, "element", some.column("event_type")),
+        }
+        for k in ("name", "attrs"):
+            if k in some.schema.names:
+                out[k] = some.column(k)
+        for k in ("local", "prefix", "ns_uri", "content"):
+            if k in some.schema.names:
+                out[k] = pc.if_else(is_element if k != "content" else pa.array(~element), some.column(k), pa.scalar(None, pa.string()))
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out)), begin
+
+    passed = [k for k in ("name", "local", "prefix", "ns_uri", "attrs", "content") if k in given]
+    made = {"node_id": "long", "parent_id": "long", "pre": "long", "depth": "int", "kind": "string", "post": "long"}
+    return whole(events, f, ("seq", "event_type", "elem_id", "parent_id", "depth"), made, passed, columns=columns)
 
 
 def to_events(tree: DataFrame) -> DataFrame:
