@@ -225,7 +225,7 @@ def _(spark, d):
 
 @query("T1_transform_path", "SELECT l_orderkey AS doc_id, count(*) AS n, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS qty FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
-    rows = stream.transform_events(parse(docs.orders(spark, d)), (c("event_type") == "characters") & (F.array_join("path", "/") == "order/line/qty"), value=c("content").cast("int"))
+    rows = stream.transform_events(parse(docs.orders(spark, d), columns=("event_type", "content", "path")), (c("event_type") == "characters") & (F.array_join("path", "/") == "order/line/qty"), value=c("content").cast("int"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("value").alias("qty"))
 
 
