@@ -338,7 +338,7 @@ def _(spark, d):
 
 @query("E5_attribute_map", "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS no, l_returnflag AS flag, 2 AS n FROM lineitem")
 def _(spark, d):
-    rows = parse(docs.orders(spark, d)).where(start("line")).withColumn("m", E.attribute_map())
+    rows = parse(docs.orders(spark, d), columns=("event_type", "name", "attrs")).where(start("line")).withColumn("m", E.attribute_map())
     return rows.select("doc_id", c("m")["no"].alias("no"), c("m")["flag"].alias("flag"), E.attribute_count().alias("n"))
 
 
