@@ -251,7 +251,7 @@ def _(spark, d):
 
 @query("T4_filter", "SELECT 'characters' AS event_type, count(*) AS n FROM lineitem UNION ALL SELECT unnest(['start_document', 'end_document']), count(*) FROM orders GROUP BY 1")
 def _(spark, d):
-    rows = stream.filter_events(parse(docs.orders(spark, d)), (c("event_type") == "characters") & (F.element_at("path", -1) == "part"))
+    rows = stream.filter_events(parse(docs.orders(spark, d), columns=("event_type", "path")), (c("event_type") == "characters") & (F.element_at("path", -1) == "part"))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
