@@ -316,7 +316,7 @@ def _(spark, d):
 
 @query("F6_take", "SELECT o_orderkey AS doc_id, CAST(3 AS BIGINT) AS n, 'status' AS last FROM orders")
 def _(spark, d):
-    rows = stream.take(parse(docs.orders(spark, d)), 3)
+    rows = stream.take(parse(docs.orders(spark, d), columns=("seq", "name")), 3)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by("name", "seq").alias("last"))
 
 

@@ -122,9 +122,13 @@ def raise_on_error(events: DataFrame) -> DataFrame:
     return events
 
 
+def _numbered(n: int, firsts: np.ndarray) -> np.ndarray:
+    return np.arange(n) - np.repeat(firsts, np.diff(np.append(firsts, n)))
+
+
 def take(events: DataFrame, n: int) -> DataFrame:
     """The first n events of each document."""
-    return events.withColumn("__n", F.row_number().over(in_order())).where(F.col("__n") <= n).drop("__n")
+    return whole(events, lambda batch, firsts: taken(batch, np.flatnonzero(_numbered(len(batch), firsts) < n), firsts), (), {}, passed=events.columns)
 
 
 def chunk_every(events: DataFrame, n: int) -> DataFrame:
