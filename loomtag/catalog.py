@@ -322,7 +322,7 @@ def _(spark, d):
 
 @query("F6_chunk_every", "SELECT o_orderkey AS doc_id, CAST(ceil((7 + 8 * coalesce(n, 0)) / 5.0) AS BIGINT) AS chunks FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def _(spark, d):
-    rows = stream.chunk_every(parse(docs.orders(spark, d)), 5)
+    rows = stream.chunk_every(parse(docs.orders(spark, d), columns=("seq",)), 5)
     return rows.groupBy("doc_id").agg(F.count_distinct("chunk").alias("chunks"))
 
 

@@ -133,7 +133,7 @@ def take(events: DataFrame, n: int) -> DataFrame:
 
 def chunk_every(events: DataFrame, n: int) -> DataFrame:
     """Number the events of each document in chunks of n."""
-    return events.withColumn("chunk", F.floor((F.row_number().over(in_order()) - 1) / n).cast("long"))
+    return whole(events, lambda batch, firsts: (with_columns(batch, chunk=pa.array(_numbered(len(batch), firsts) // n)), firsts), (), {"chunk": "long"}, passed=events.columns)
 
 
 def drop_while(events: DataFrame, test: Column) -> DataFrame:
