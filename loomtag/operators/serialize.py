@@ -2,52 +2,87 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resolve import encode, encode_attr
-from .stream import in_order, is_
+from .whole import among, as_list, documents_of, numbers, taken, whole
 
+#: White space as the JVM's patterns have it.
+_LEADING = re.compile(r"\A[ \t\n\x0b\f\r]+")
 
-def _attrs(quote: str = '"') -> Column:
-    one = lambda a: F.concat(F.lit(" "), a["name"], F.lit("="), F.lit(quote), encode_attr(a["value"]), F.lit(quote))
-    return F.coalesce(F.array_join(F.transform("attrs", one), ""), F.lit(""))
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _attrs(attrs: list[dict] | None) -> str:
+    return "".join([f' {a["name"]}="{_escaped(a["value"]).replace(chr(34), "&quot;")}"' for a in attrs or () if a["name"] is not None and a["value"] is not None])
+
+
+def _fragment(kind: str, name: str | None, attrs: list[dict] | None, content: str | None, empty: bool, after: bool) -> str | None:
+    if kind == "start_element":
+        return None if name is None else f"<{name}{_attrs(attrs)}{'/>' if empty else '>'}"
+    if kind == "end_element":
+        return "" if after else None if name is None else f"</{name}>"
+    if kind == "processing_instruction":
+        data = _LEADING.sub("", content or "")
+        return None if name is None else f"<?{name}{' ' + data if data else ''}?>"
+    if kind == "prolog":
+        return f"<?xml{_attrs(attrs)}?>"
+    if kind in ("characters", "space", "cdata", "comment", "dtd") and content is None:
+        return None
+    if kind in ("characters", "space"):
+        return _escaped(content)
+    if kind == "cdata":
+        return "<![CDATA[" + content.replace("]]>", "]]]]><![CDATA[>") + "]]>"
+    if kind == "comment":
+        return f"<!--{content}-->"
+    return f"<!{content}>" if kind == "dtd" else ""
 
 
 def fragments(events: DataFrame, pretty: bool = False, indent: int | str = 2) -> DataFrame:
     """(doc_id, seq, fragment). An element that ends right where it starts closes itself; error rows and
     markers write nothing. A CDATA section that holds its own end is split in two."""
     pad = " " * indent if isinstance(indent, int) else indent
-    rows = events.where(~is_("error", "start_document", "end_document"))
-    w = in_order()
-    empty = is_("start_element") & (F.lead("event_type").over(w) == "end_element") & F.coalesce(F.lead("elem_id").over(w) == F.col("elem_id"), F.lead("name").over(w) == F.col("name"))
-    after = is_("end_element") & (F.lag("event_type").over(w) == "start_element") & F.coalesce(F.lag("elem_id").over(w) == F.col("elem_id"), F.lag("name").over(w) == F.col("name"))
-    rows = rows.select("*", F.coalesce(empty, F.lit(False)).alias("__empty"), F.coalesce(after, F.lit(False)).alias("__after"))
-    data = F.regexp_replace(F.col("content"), r"\A\s+", "")
-    text = (
-        F.when(is_("start_element"), F.concat(F.lit("<"), "name", _attrs(), F.when(F.col("__empty"), "/>").otherwise(">")))
-        .when(is_("end_element"), F.when(F.col("__after"), "").otherwise(F.concat(F.lit("</"), "name", F.lit(">"))))
-        .when(is_("characters", "space"), encode(F.col("content")))
-        .when(is_("cdata"), F.concat(F.lit("<![CDATA["), F.replace("content", F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>")))
-        .when(is_("comment"), F.concat(F.lit("<!--"), "content", F.lit("-->")))
-        .when(is_("processing_instruction"), F.concat(F.lit("<?"), "name", F.when(F.coalesce(data, F.lit("")) == "", "").otherwise(F.concat(F.lit(" "), data)), F.lit("?>")))
-        .when(is_("prolog"), F.concat(F.lit("<?xml"), _attrs(), F.lit("?>")))
-        .when(is_("dtd"), F.concat(F.lit("<!"), "content", F.lit(">")))
-        .otherwise("")
-    )
-    if pretty:
-        level = F.when(is_("start_element", "end_element"), F.col("depth") - 1).otherwise(F.coalesce("depth", F.lit(0)))
-        text = F.when(text == "", text).when(is_("space"), "").otherwise(F.concat(F.repeat(F.lit(pad), level), text, F.lit("\n")))
-    return rows.select("doc_id", "seq", text.alias("fragment"))
+
+    def f(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        batch, firsts = taken(batch, np.flatnonzero(~among(batch.column("event_type"), "error", "start_document", "end_document")), firsts)
+        kind, elem = batch.column("event_type"), numbers(batch.column("elem_id"))
+        names = _codes(batch.column("name"))
+        own = documents_of(len(batch), firsts)
+        same = np.where((elem[1:] >= 0) & (elem[:-1] >= 0), elem[1:] == elem[:-1], (names[1:] == names[:-1]) & (names[1:] >= 0))
+        pair = among(kind, "start_element")[:-1] & among(kind, "end_element")[1:] & same & (own[1:] == own[:-1])
+        empty, after = np.append(pair, False).tolist(), np.append(False, pair).tolist()
+        kinds_ = as_list(kind)
+        out = [_fragment(*x) for x in zip(kinds_, *(as_list(batch.column(k)) for k in ("name", "attrs", "content")), empty, after, strict=True)] if len(batch) else []
+        if pretty:
+            levels = numbers(batch.column("depth"), 0) - among(kind, "start_element", "end_element")
+            out = [t if not t else "" if k == "space" else f"{pad * d}{t}\n" for t, k, d in zip(out, kinds_, levels.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), pa.array(out, pa.string())], ["doc_id", "seq", "fragment"]), firsts
+
+    return whole(events, f, ("seq", "event_type", "name", "attrs", "content", "depth", "elem_id"), {"fragment": "string"}, ("seq",))
+
+
+def _codes(names: pa.Array) -> np.ndarray:
+    return numbers(names.dictionary_encode().indices)
 
 
 def to_text(events: DataFrame, pretty: bool = False, indent: int | str = 2) -> DataFrame:
-    """(doc_id, xml): one exchange by document serves both the neighbours and the joining."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", "fragment")))
-    return fragments(events, pretty, indent).groupBy("doc_id").agg(parts.alias("parts")).select("doc_id", F.array_join(F.transform("parts", lambda p: p["fragment"]), "").alias("xml"))
+    """(doc_id, xml): fragments joined where they are made."""
+
+    def f(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        parts = batch.column("fragment").fill_null("")
+        ends = pa.array(np.append(firsts, len(batch)), pa.int32())
+        xml = pc.binary_join(pa.ListArray.from_arrays(ends, parts), "")
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(firsts)), xml], ["doc_id", "xml"]), np.arange(len(firsts))
+
+    return whole(fragments(events, pretty, indent), f, ("fragment",), {"xml": "string"}, last=True)
 
 
 def blocks(texts: DataFrame, size: int = 65536, text: str = "xml") -> DataFrame:
@@ -59,7 +94,9 @@ def blocks(texts: DataFrame, size: int = 65536, text: str = "xml") -> DataFrame:
 
 def greedy_blocks(frags: DataFrame, size: int = 65536) -> DataFrame:
     """Fragments joined until a block reaches ``size`` bytes; each block ends with a whole fragment."""
-    rows = frags.repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    known = frags.__dict__.get("_whole")
+    make = known.make if known else None
+    rows = known.docs if known else frags.repartition("doc_id").sortWithinPartitions("doc_id", "seq").select("doc_id", "fragment")
     kind = frags.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +109,7 @@ def greedy_blocks(frags: DataFrame, size: int = 65536) -> DataFrame:
                     out[k].append(v)
                 n, held, length = n + 1, [], 0
 
-        for batch in batches:
+        for batch in (b for b, _ in make(batches, ("fragment",))) if make else batches:
             for d, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if d != doc:
                     flush()
@@ -88,4 +125,4 @@ def greedy_blocks(frags: DataFrame, size: int = 65536) -> DataFrame:
         if out["doc_id"]:
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], last), pa.array(out["block"], pa.int64()), pa.array(out["data"], pa.binary())], list(out))
 
-    return rows.select("doc_id", "fragment").mapInArrow(run, f"doc_id {kind}, block long, data binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, block long, data binary")

@@ -66,12 +66,33 @@ def nodes(events: DataFrame, include_comments: bool = False, keep_space: bool =
 
 def to_events(tree: DataFrame) -> DataFrame:
     """Nodes as events again, in document order."""
-    element = F.col("kind") == "element"
-    none = F.lit(None).cast(tree.schema["attrs"].dataType)
-    event = lambda seq, kind, attrs: F.struct(seq.alias("seq"), kind.alias("event_type"), attrs.alias("attrs"))
-    both = F.array(event(F.col("pre"), F.lit("start_element"), F.col("attrs")), event(F.col("post"), F.lit("end_element"), none))
-    rows = tree.withColumn("x", F.explode(F.when(element, both).otherwise(F.array(event(F.col("pre"), F.col("kind"), F.col("attrs"))))))
-    return rows.select("doc_id", "x.seq", "x.event_type", "name", "x.attrs", "content", F.when(element, F.col("depth")).otherwise(F.col("depth") - 1).alias("depth"), F.when(element, F.col("node_id")).otherwise(F.col("parent_id")).alias("elem_id"), "parent_id")
+
+    def f(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        n, own = len(batch), documents_of(len(batch), firsts)
+        element = among(batch.column("kind"), "element")
+        pre, post = numbers(batch.column("pre")), numbers(batch.column("post"))
+        ends = np.flatnonzero(element)
+        at = np.append(np.arange(n), ends)
+        is_end = np.append(np.zeros(n, bool), np.ones(len(ends), bool))
+        seq = np.append(pre, post[ends])
+        order = np.lexsort((np.where(is_end, -pre[at], 0), is_end, seq, own[at]))  # of those that end together the inner first
+        at, is_end, seq = at[order], is_end[order], seq[order]
+        both = batch.take(pa.array(at))
+        inner = pa.array(element[at])
+        kind = pc.if_else(pa.array(is_end), "end_element", pc.if_else(inner, "start_element", both.column("kind")))
+        out = {
+            "doc_id": both.column("doc_id"), "seq": pa.array(seq), "event_type": kind, "depth": pc.subtract(both.column("depth"), pa.array(~element[at]).cast(pa.int32())),
+            "elem_id": pc.if_else(inner, both.column("node_id"), both.column("parent_id")), "parent_id": both.column("parent_id"),
+        }
+        out |= {k: both.column(k) for k in ("name", "content") if k in both.schema.names}
+        if "attrs" in both.schema.names:
+            attrs = both.column("attrs")
+            out["attrs"] = attrs.take(pa.array(np.arange(len(at)), mask=is_end))
+        doc = own[at]
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out)), np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else firsts
+
+    made = {"seq": "long", "event_type": "string", "depth": "int", "elem_id": "long", "parent_id": "long"}
+    return whole(tree, f, ("node_id", "parent_id", "pre", "post", "depth", "kind"), made, ("name", "attrs", "content"), order="pre")
 
 
 def elements_by_tag_name(tree: DataFrame, local: str) -> DataFrame:
