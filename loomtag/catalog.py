@@ -637,7 +637,7 @@ def _(spark, d):
 
 @query("M12_descendants", "SELECT l_orderkey AS doc_id, count(*) * 3 AS n FROM lineitem GROUP BY 1")
 def _(spark, d):
-    n = nodes.nodes(parse(docs.orders(spark, d)))
+    n = nodes.nodes(parse(docs.orders(spark, d)), columns=("node_id", "pre", "post", "depth", "kind", "name", "local"))
     below = nodes.descendants(n, "order").where("name <> 'status'")
     return below.groupBy("doc_id").agg(F.count("*").alias("n"))
 

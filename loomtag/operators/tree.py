@@ -113,10 +113,24 @@ def child_counts(tree: DataFrame) -> DataFrame:
 
 
 def descendants(tree: DataFrame, local: str) -> DataFrame:
-    """Elements below elements of a name: a join on the document with the interval as its rest. What is never
-    closed ends with its document."""
-    above = elements_by_tag_name(tree, local).select("doc_id", F.col("node_id").alias("above_id"), F.col("pre").alias("lo"), F.col("post").alias("hi"), F.col("depth").alias("level"))
-    return tree.where("kind = 'element'").join(above, "doc_id").where("pre > lo AND pre <= hi AND depth > level").drop("lo", "hi", "level")
+    """Elements below elements of a name, a row for each pair: those below are the rows of the document in the
+    interval. What is never closed ends with its document."""
+
+    def f(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        elements, begin = taken(batch, np.flatnonzero(among(batch.column("kind"), "element")), firsts)
+        own, pre, post, depth = documents_of(len(elements), begin), *(numbers(elements.column(k)) for k in ("pre", "post", "depth"))
+        above = np.flatnonzero(among(elements.column("local"), local))
+        wide = int(max(pre.max(initial=0), post.max(initial=0))) + 2
+        keys = own * wide + pre
+        lo, hi = (np.searchsorted(keys, own[above] * wide + x[above], "right") for x in (pre, post))
+        count = np.maximum(hi - lo, 0)
+        rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        over = np.repeat(above, count)
+        deeper = depth[rows] > depth[over]
+        out = elements.take(pa.array(rows[deeper]))
+        return with_columns(out, above_id=elements.column("node_id").take(pa.array(over[deeper]))), begin
+
+    return whole(tree, f, ("node_id", "pre", "post", "depth", "kind", "local"), {"above_id": "long"}, tree.columns, order="pre", last=True)
 
 
 def text_content(events: DataFrame, name: str) -> DataFrame:
