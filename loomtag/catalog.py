@@ -632,7 +632,7 @@ def _(spark, d):
 
 @query("M10_child_count", "SELECT o_orderkey AS doc_id, CAST(1 + coalesce(n, 0) AS BIGINT) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def _(spark, d):
-    return nodes.child_counts(nodes.nodes(parse(docs.orders(spark, d)))).where("name = 'order'").select("doc_id", "n")
+    return nodes.child_counts(nodes.nodes(parse(docs.orders(spark, d)), columns=("node_id", "parent_id", "pre", "kind", "name"))).where("name = 'order'").select("doc_id", "n")
 
 
 @query("M12_descendants", "SELECT l_orderkey AS doc_id, count(*) * 3 AS n FROM lineitem GROUP BY 1")

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.tree import Halt, Handler, one
 from ..sources.columnar import pieces
 from .whole import among, as_list, documents_of, numbers, source, taken, whole, with_columns
-from pyspark.sql import Window
-
-from .accessors import attribute
-from .stream import fold, is_
 
 
 def nodes(events: DataFrame, include_comments: bool = False, keep_space: bool = False, columns: Collection[str] | None = None) -> DataFrame:
@@ -108,8 +104,17 @@ def element_by_id(tree: DataFrame, value: Column | str) -> DataFrame:
 
 def child_counts(tree: DataFrame) -> DataFrame:
     """How many child elements each element has."""
-    children = tree.where("kind = 'element'").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
-    return tree.where("kind = 'element'").join(children, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def f(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        elements, begin = taken(batch, np.flatnonzero(among(batch.column("kind"), "element")), firsts)
+        own, node, parent = documents_of(len(elements), begin), numbers(elements.column("node_id")), numbers(elements.column("parent_id"))
+        wide = int(max(node.max(initial=0), parent.max(initial=0))) + 2
+        keys = own * wide + node
+        wanted = np.sort((own * wide + parent)[parent >= 0])
+        counts = np.searchsorted(wanted, keys, "right") - np.searchsorted(wanted, keys, "left")
+        return pa.RecordBatch.from_arrays([elements.column("doc_id"), elements.column("node_id"), elements.column("name"), pa.array(counts, pa.int64())], ["doc_id", "node_id", "name", "n"]), begin
+
+    return whole(tree, f, ("node_id", "parent_id", "kind", "name"), {"n": "long"}, ("node_id", "name"), order="pre")
 
 
 def descendants(tree: DataFrame, local: str) -> DataFrame:
