@@ -120,7 +120,7 @@ def _(spark, d):
 @query("P6_disabled_events", "SELECT 'start_element' AS event_type, count(*) * 2 + (SELECT count(*) * 3 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS n FROM orders")
 def _(spark, d):
     config = ParserConfig(markers=False, positions="none").without("end_element", "characters", "space")
-    return parse(docs.orders(spark, d), config=config).groupBy("event_type").agg(F.count("*").alias("n"))
+    return parse(docs.orders(spark, d), config=config, columns=("event_type",)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("P8_positions", "SELECT n_nationkey AS doc_id, 1 AS line, CAST(strlen('<n k=\"' || n_nationkey || '\" r=\"' || n_regionkey || '\">') AS BIGINT) AS text_pos, CAST(strlen('<n k=\"' || n_nationkey || '\" r=\"' || n_regionkey || '\">' || n_name || '</') AS BIGINT) AS end_pos FROM nation")
