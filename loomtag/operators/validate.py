@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Problem
 from ..functions.chars import NCNAME_JAVA
 from ..functions.namespaces import XML, XMLNS
 from .stream import is_
+from .whole import among, documents_of, numbers, whole, with_columns
 
 _COLUMNS = ("doc_id", "seq", "source", "type", "detail")
 PREDEFINED = ("amp", "lt", "gt", "quot", "apos")
@@ -41,10 +44,6 @@ def _each(source: str, found: Column, test: Column | None = None) -> Column:
     return F.coalesce(out if test is None else F.when(test, out), _none())
 
 
-def _closed() -> Column:
-    return F.max(F.when(is_("end_element"), 1).otherwise(0)).over(Window.partitionBy("doc_id", "elem_id"))
-
-
 def _root() -> Column:
     return is_("start_element") & (F.col("depth") == 1)
 
@@ -55,27 +54,38 @@ _DECLARED = "struct<names:array<string>,unparsed:array<string>,external:array<st
 def _declared() -> Column:
     """What entities the document's first declaration declares. ``open``: it refers to parameter entities or to
     an outer subset, where more may be declared."""
-    text = F.regexp_replace("content", r"(?s)<!--.*?-->|<\?.*?\?>", "")
+    text = F.regexp_replace("__dtd", r"(?s)<!--.*?-->|<\?.*?\?>", "")
     literal = r"(?:\"[^\"]*\"|'[^']*')"
     outer = rf"(?:SYSTEM\s+{literal}|PUBLIC\s+{literal}\s+{literal})"
     names = lambda rest: F.regexp_extract_all(text, F.lit(rf"<!ENTITY\s+([^\s%\"'<>&;]+)\s+{rest}"), F.lit(1))
     more = F.regexp_replace(text, literal, "").rlike(r"%[A-Za-z_:]") | text.rlike(r"\A[^\[]*\s(?:SYSTEM|PUBLIC)\s")
     own = F.struct(names("[\"'SP]").alias("names"), names(outer + r"\s+NDATA").alias("unparsed"), names(outer + r"\s*>").alias("external"), more.alias("open")).cast(_DECLARED)
-    return F.first(F.when(is_("dtd"), own), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when(F.col("__dtd").isNotNull(), own)
+
+
+#: What rules read of a document's other events: whether the element of an event is closed (1) or not (0), how many
+#: roots there are up to the event and in all, and the first document type declaration.
+_NEIGHBOURS = {"__closed": "int", "__n": "long", "__all": "long", "__dtd": "string"}
 
 
-#: What rules read of a document's other events, each by one window.
-_NEIGHBOURS = {
-    "__closed": _closed,
-    "__n": lambda: F.sum(F.when(_root(), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)),
-    "__all": lambda: F.count_if(_root()).over(Window.partitionBy("doc_id")),
-    "__declared": _declared,
-}
+def _marked(batch: pa.RecordBatch, firsts: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    n, kind, elem, depth = len(batch), batch.column("event_type"), numbers(batch.column("elem_id")), numbers(batch.column("depth"))
+    own = documents_of(n, firsts)
+    keys = own * (int(elem.max(initial=0)) + 2) + elem + 1
+    closed = np.isin(keys, keys[among(kind, "end_element")])
+    root = among(kind, "start_element") & (depth == 1)
+    up_to = np.cumsum(root)
+    before = (up_to - root)[firsts][own] if n else up_to
+    all_ = np.bincount(own, weights=root, minlength=len(firsts)).astype(np.int64)[own]
+    declared, first = np.flatnonzero(among(kind, "dtd")), np.full(len(firsts), -1)
+    first[own[declared[::-1]]] = declared[::-1]
+    dtd = batch.column("content").take(pa.array(first[own], mask=first[own] < 0))
+    return with_columns(batch, __closed=pa.array(closed.astype(np.int32)), __n=pa.array(up_to - before), __all=pa.array(all_), __dtd=dtd), firsts
 
 
 def rule(*neighbours: str):
     """Make a validator of a function that gives each event's findings as an array column: events -> error rows.
-    Several of them share one pass over the events, and one exchange by document."""
+    Several of them share one pass over the events; what they need of other events is told where these are made."""
 
     def wrap(findings: Callable[..., Column]) -> Callable[..., DataFrame]:
         def validator(events: DataFrame) -> DataFrame:
@@ -90,7 +100,9 @@ def rule(*neighbours: str):
 
 def _pass(events: DataFrame, validators: list) -> DataFrame:
     if needs := {n for v in validators for n in v.neighbours}:
-        events = events.repartition("doc_id").withColumns({n: _NEIGHBOURS[n]() for n in _NEIGHBOURS if n in needs})
+        events = whole(events, _marked, ("event_type", "elem_id", "depth", "content"), _NEIGHBOURS, passed=events.columns)
+        if "__declared" in needs:
+            events = events.withColumn("__declared", _declared())
     found = F.concat(*[v.findings() for v in validators])
     return events.select("doc_id", "seq", F.inline(found)).select(*_COLUMNS)
 
