@@ -451,7 +451,7 @@ def _(spark, d):
 
 @query("V1_apply_skip", f"SELECT CAST(count(*) FILTER (o_orderkey % {len(docs.FAULTS)} = 2) AS BIGINT) AS gone FROM orders")
 def _(spark, d):
-    events = parse(docs.faulty(spark, d))
+    events = parse(docs.faulty(spark, d), columns=("seq", "event_type", "name", "attrs"))
     kept = validate.apply(events, validate.attributes(events), "skip")
     return events.where(start()).join(kept.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").agg(F.count("*").alias("gone"))
 
