@@ -270,7 +270,7 @@ def _spaced(spark, d):
 
 @query("F1_filter_ws", "SELECT o_orderkey AS doc_id, o_orderstatus AS content FROM orders")
 def _(spark, d):
-    return stream.filter_ws(parse(_spaced(spark, d))).where(c("event_type").isin("characters", "space")).select("doc_id", "content")
+    return stream.filter_ws(parse(_spaced(spark, d), columns=("event_type", "content"))).where(c("event_type").isin("characters", "space")).select("doc_id", "content")
 
 
 @query("F2_filter_namespaces_prefix", "SELECT c_custkey AS doc_id, unnest(['p:name', c_name]) AS x FROM customer")
