@@ -453,7 +453,7 @@ def _(spark, d):
 def _(spark, d):
     events = parse(docs.faulty(spark, d), columns=("seq", "event_type", "name", "attrs"))
     kept = validate.apply(events, validate.attributes(events), "skip")
-    return events.where(start()).join(kept.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").agg(F.count("*").alias("gone"))
+    return events.where(start()).join(kept.select("doc_id", "seq").hint("merge"), ["doc_id", "seq"], "left_anti").agg(F.count("*").alias("gone"))
 
 
 # --- entities, namespaces, DTD

@@ -307,7 +307,8 @@ def apply(events: DataFrame, found: DataFrame, on_error: str = "emit") -> DataFr
             raise Problem(r["type"], f"{r['doc_id']}: {r['detail']}")
         return events
     if on_error == "skip":
-        return events.join(found.select("doc_id", "seq").distinct(), ["doc_id", "seq"], "left_anti")
+        # what comes out of Python has a guessed size, by which it must not be broadcast
+        return events.join(found.select("doc_id", "seq").distinct().hint("merge"), ["doc_id", "seq"], "left_anti")
     if on_error != "emit":
         raise ValueError("on_error is emit, skip or raise")
     error = F.struct("source", "type", F.col("detail").alias("message")).alias("error")
