@@ -70,7 +70,7 @@ def columns(b: bytes, config: ParserConfig, first: int = 0) -> dict[str, list]:
 
 
 #: Bytes of documents that are made into events at once; a larger document stands alone.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 class Whole:
