@@ -137,3 +137,15 @@ def test_a_wrapped_key_is_unwrapped_once_and_documents_are_not_joined(spark, mon
     assert "Exchange" not in plan and "Join" not in plan and "BatchEvalPython" not in plan
     mixed = spark.createDataFrame([(1, None), (2, "<a/>")], "doc_id long, xml string")
     assert sorted((r[0], r[1]) for r in sealed.decrypt(mixed, private=private).collect()) == [(1, None), (2, "<a/>")]
+
+
+def test_events_are_never_broadcast_by_a_guessed_size(spark):
+    from loomtag import catalog
+
+    plan = catalog.queries()["V1_apply_skip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_a_handler_that_has_stopped_sees_nothing_more(spark):
+    seen = {r["doc_id"]: r["t"] for r in _sax(parse(docs(spark, "<a>x<b/>z<c>y</c></a>", "<a>y</a>"))).collect()}
+    assert seen[0] == "None|a|a[]xNone|b|b[]!" and seen[1] == "None|a|a[]y"
