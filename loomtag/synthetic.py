@@ -34,12 +34,15 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document for each order with its lines."""
-    line = F.struct("l_linenumber", cat('<line no="', c("l_linenumber"), '" flag="', c("l_returnflag"), '"><part>', c("l_partkey"), "</part><qty>", c("l_quantity").cast("int"), "</qty></line>").alias("x"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    both = table(spark, sf_dir, "orders").join(lines, c("o_orderkey") == c("l_orderkey"), "left")
-    body = F.coalesce(F.array_join(F.transform("lines", lambda x: x["x"]), ""), F.lit(""))
-    xml = cat('<order id="', c("o_orderkey"), '"><status>', c("o_orderstatus"), "</status>", body, "</order>")
+    """One document for each order with its lines. Lines are dealt as the few columns they are made of and become
+    text behind that. The number of partitions is given, as AQE would put together what is small as columns and
+    long to parse."""
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", c("l_quantity").cast("int").alias("qty"))
+    line = F.struct("l_linenumber", cat('<line no="', c("l_linenumber"), '" flag="', c("l_returnflag"), '"><part>', c("l_partkey"), "</part><qty>", c("qty"), "</qty></line>").alias("x"))
+    lines = raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    body = lines.select("l_orderkey", F.array_join("lines.x", "").alias("body"))
+    both = table(spark, sf_dir, "orders").join(body, c("o_orderkey") == c("l_orderkey"), "left")
+    xml = cat('<order id="', c("o_orderkey"), '"><status>', c("o_orderstatus"), "</status>", F.coalesce("body", F.lit("")), "</order>")
     return both.select(c("o_orderkey").alias("doc_id"), xml.alias("xml"))
 
 

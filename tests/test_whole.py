@@ -149,3 +149,19 @@ def test_events_are_never_broadcast_by_a_guessed_size(spark):
 def test_a_handler_that_has_stopped_sees_nothing_more(spark):
     seen = {r["doc_id"]: r["t"] for r in _sax(parse(docs(spark, "<a>x<b/>z<c>y</c></a>", "<a>y</a>"))).collect()}
     assert seen[0] == "None|a|a[]xNone|b|b[]!" and seen[1] == "None|a|a[]y"
+
+
+def test_lines_are_dealt_as_columns_and_become_text_behind_that(spark, tmp_path):
+    spark.createDataFrame([(1, "O"), (2, None), (3, "F"), (3, "P"), (None, "O")], "o_orderkey long, o_orderstatus string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 2, "R", 8, 6.0), (1, 1, "N", 7, 5.9), (1, 1, "A", 9, 5.0), (1, 3, None, 9, 5.0), (2, 1, "N", 7, 5.0), (9, 1, "N", 7, 5.0), (None, 1, "N", 7, 5.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_partkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = synthetic.orders(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    line = '<line no="{}" flag="{}"><part>{}</part><qty>{}</qty></line>'.format
+    found = sorted(((r["doc_id"], r["xml"]) for r in made.collect()), key=str)
+    assert found == sorted([
+        (1, f'<order id="1"><status>O</status>{line(1, "A", 9, 5)}{line(1, "N", 7, 5)}{line(2, "R", 8, 6)}</order>'), (2, None), (None, None),
+        (3, '<order id="3"><status>F</status></order>'), (3, '<order id="3"><status>P</status></order>'),
+    ], key=str)
+    final, partial, scan = plan.split("ObjectHashAggregate(")[-3:]
+    assert "Exchange" not in partial and scan.count("Exchange") == 1 and "<line" not in scan.split("Exchange")[1] and "REPARTITION_BY_NUM" in scan
