@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .whole import among, as_list, documents_of, numbers, taken, whole
+from .whole import _changes, among, as_list, documents_of, numbers, taken, whole
 
 #: White space as the JVM's patterns have it.
 _LEADING = re.compile(r"\A[ \t\n\x0b\f\r]+")
@@ -58,17 +58,39 @@ def fragments(events: DataFrame, pretty: bool = False, indent: int | str = 2) ->
         own = documents_of(len(batch), firsts)
         same = np.where((elem[1:] >= 0) & (elem[:-1] >= 0), elem[1:] == elem[:-1], (names[1:] == names[:-1]) & (names[1:] >= 0))
         pair = among(kind, "start_element")[:-1] & among(kind, "end_element")[1:] & same & (own[1:] == own[:-1])
-        empty, after = np.append(pair, False).tolist(), np.append(False, pair).tolist()
-        kinds_ = as_list(kind)
-        out = [_fragment(*x) for x in zip(kinds_, *(as_list(batch.column(k)) for k in ("name", "attrs", "content")), empty, after, strict=True)] if len(batch) else []
+        out = _fragments(batch, names, np.append(pair, False)[: len(batch)], np.append(False, pair)[: len(batch)])
         if pretty:
-            levels = numbers(batch.column("depth"), 0) - among(kind, "start_element", "end_element")
-            out = [t if not t else "" if k == "space" else f"{pad * d}{t}\n" for t, k, d in zip(out, kinds_, levels.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), pa.array(out, pa.string())], ["doc_id", "seq", "fragment"]), firsts
+            levels = np.maximum(numbers(batch.column("depth"), 0) - among(kind, "start_element", "end_element"), 0)
+            pads = pa.array([pad * d for d in range(int(levels.max(initial=0)) + 1)], pa.string()).take(pa.array(levels))
+            lines = pc.if_else(pa.array(among(kind, "space")), "", pc.binary_join_element_wise(pads, out, "\n", ""))
+            out = pc.if_else(pc.equal(out, ""), out, lines)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), out], ["doc_id", "seq", "fragment"]), firsts
 
     return whole(events, f, ("seq", "event_type", "name", "attrs", "content", "depth", "elem_id"), {"fragment": "string"}, ("seq",))
 
 
+def _fragments(batch: pa.RecordBatch, codes: np.ndarray, empty: np.ndarray, after: np.ndarray) -> pa.Array:
+    """Tags without attributes, written once for each name, and text by array operations; all else one by one."""
+    kind, name, content = (batch.column(k) for k in ("event_type", "name", "content"))
+    begins, ends, text = among(kind, "start_element"), among(kind, "end_element"), among(kind, "characters", "space")
+    begins &= numbers(pc.list_value_length(batch.column("attrs")), 0) == 0
+    rest = np.flatnonzero(~(begins | ends | text))
+    known = name.dictionary_encode().dictionary.to_pylist()
+    texts = content.filter(pa.array(text))
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        if pc.any(pc.match_substring(texts, plain)).as_py():
+            texts = pc.replace_substring(texts, plain, escaped)
+    some = batch.take(pa.array(rest))
+    slow = zip(*(as_list(some.column(k)) for k in ("event_type", "name", "attrs", "content")), empty[rest].tolist(), after[rest].tolist(), strict=True) if len(rest) else ()
+    tags = ["", *[f"<{x}>" for x in known], *[f"<{x}/>" for x in known], *[f"</{x}>" for x in known]]
+    at = 1 + codes + np.where(ends, 2 * len(known), np.where(empty, len(known), 0))
+    none = (codes < 0) & (begins | ends & ~after)
+    at[ends & after] = 0
+    at[text] = len(tags) + np.arange(len(texts))
+    at[rest] = len(tags) + len(texts) + np.arange(len(rest))
+    return pa.concat_arrays([pa.array(tags, pa.string()), texts.cast(pa.string()), pa.array([_fragment(*x) for x in slow], pa.string())]).take(pa.array(at, mask=none))
+
+
 def _codes(names: pa.Array) -> np.ndarray:
     return numbers(names.dictionary_encode().indices)
 
@@ -100,29 +122,44 @@ def greedy_blocks(frags: DataFrame, size: int = 65536) -> DataFrame:
     kind = frags.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, n, held, length, out = object(), 0, [], 0, {"doc_id": [], "block": [], "data": []}
-
-        def flush() -> None:
-            nonlocal n, held, length
-            if held:
-                for k, v in zip(out, (doc, n, b"".join(held)), strict=True):
-                    out[k].append(v)
-                n, held, length = n + 1, [], 0
-
+        doc, n, held, length, last = None, 0, [], 0, None  # the document that came last, and its block that is still open
+        made = lambda ids, numbers_, data: pa.RecordBatch.from_arrays([ids, pa.array(numbers_, pa.int64()), data], ["doc_id", "block", "data"])
         for batch in (b for b, _ in make(batches, ("fragment",))) if make else batches:
-            for d, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if d != doc:
-                    flush()
-                    doc, n = d, 0
-                held.append(f.encode())
-                length += len(held[-1])
-                if length >= size:
-                    flush()
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], batch.column(0).type), pa.array(out["block"], pa.int64()), pa.array(out["data"], pa.binary())], list(out))
-            out = {k: [] for k in out}
-            last = batch.column(0).type
-        flush()
-        if out["doc_id"]:
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], last), pa.array(out["block"], pa.int64()), pa.array(out["data"], pa.binary())], list(out))
+            if not len(batch):
+                continue
+            ids, parts, m = batch.column(0), batch.column(1).fill_null("").cast(pa.binary()), len(batch)
+            goes_on = last is not None and ids[0].as_py() == doc
+            if not goes_on:
+                if held:
+                    yield made(last, [n], pa.array([b"".join(held)], pa.binary()))
+                n, held, length = 0, [], 0
+            firsts = _changes(ids)
+            bounds = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + m + 1]
+            size_of = bounds.astype(np.int64)
+            doc_ends = np.repeat(np.append(firsts[1:], m), np.diff(np.append(firsts, m)))
+            # where a block ends that begins with a fragment
+            reach = np.append(size_of[0] - length, size_of[1:-1]) + size
+            ends = np.maximum(np.minimum(np.searchsorted(size_of, reach), doc_ends), np.arange(m) + 1).tolist()
+            begins, k = [], 0
+            while k < m:
+                begins.append(k)
+                k = ends[k]
+            begins = np.array(begins)
+            own = np.searchsorted(firsts, begins, "right") - 1
+            number = np.arange(len(begins)) - np.searchsorted(own, own) + np.where(own == 0, n, 0)
+            edges = np.append(bounds[begins], bounds[-1]).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(edges), parts.buffers()[2] or pa.py_buffer(b"")])
+            ids = ids.take(pa.array(begins))
+            if held:
+                data = pa.concat_arrays([pa.array([b"".join(held) + data[0].as_py()], pa.binary()), data.slice(1)])
+            rest = data[-1].as_py()
+            is_open = len(rest) < size
+            doc, last, n = ids[-1].as_py(), ids.slice(len(ids) - 1), int(number[-1]) + (not is_open)
+            held, length = ([rest], len(rest)) if is_open else ([], 0)
+            whole_ = len(begins) - is_open
+            if whole_:
+                yield made(ids.slice(0, whole_), number[:whole_], data.slice(0, whole_))
+        if held:
+            yield made(last, [n], pa.array([b"".join(held)], pa.binary()))
 
     return rows.mapInArrow(run, f"doc_id {kind}, block long, data binary")

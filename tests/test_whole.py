@@ -165,3 +165,37 @@ def test_lines_are_dealt_as_columns_and_become_text_behind_that(spark, tmp_path)
     ], key=str)
     final, partial, scan = plan.split("ObjectHashAggregate(")[-3:]
     assert "Exchange" not in partial and scan.count("Exchange") == 1 and "<line" not in scan.split("Exchange")[1] and "REPARTITION_BY_NUM" in scan
+
+
+def test_tags_and_text_are_written_without_a_call_for_each(spark, monkeypatch):
+    calls = []
+    one = serialize._fragment
+    monkeypatch.setattr(serialize, "_fragment", lambda *a: calls.append(a[0]) or one(*a))
+    texts = ['<a>x &lt; y<b/> <c k="1">z</c></a>', "<a><!-- c --></a>"]
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([t.encode() for t in texts], pa.binary())], ["doc_id", "xml"])
+    made = serialize.fragments(parse(docs(spark, "")))._whole.make(iter([batch]), ("fragment",))
+    assert "".join(x for b, _ in made for x in b.column(1).to_pylist()) == "".join(texts).replace("&lt; y", "&amp;lt; y")
+    assert sorted(calls) == ["comment", "start_element"]  # that with an attribute
+
+
+def test_blocks_are_the_same_however_batches_are_cut(spark):
+    r = random.Random(3)
+    rows = [(d, i, r.choice(["", None, "x", "é" * 3, "y" * 15])) for d in range(30) for i in range(r.randint(1, 40))]
+    expected = []
+    for d in range(30):
+        held, n = None, 0
+        for f in [f for k, _, f in rows if k == d]:
+            held = (held or b"") + (f or "").encode()
+            if len(held) >= 20:
+                expected.append((d, n, held))
+                held, n = None, n + 1
+        if held is not None:
+            expected.append((d, n, held))
+    frags = spark.createDataFrame(rows, "doc_id long, seq int, fragment string")
+    for most in (1, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            found = sorted((x["doc_id"], x["block"], bytes(x["data"])) for x in serialize.greedy_blocks(frags, 20).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert found == expected
